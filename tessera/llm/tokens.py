@@ -27,7 +27,9 @@ from tessera.llm.eliasfano import EliasFano
 
 MAGIC = b"TIDS0001"
 #: Chunks of text whose ids a worker remembers, and the longest of them in bytes.
-CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
+#: ASCII marks that a pre-tokenizer of letters, digits and runs of other marks cuts from the letters before them.
+TAIL = b".,!?;:&*#$%()-"
 #: Bytes of ids that one read of a shard asks for.
 READ_BYTES = 16 << 20
 
@@ -35,9 +37,10 @@ READ_BYTES = 16 << 20
 class ChunkEncoder:
     """Encodes texts as the tokenizers library does, remembering the ids of chunks between white space.
 
-    Valid for tokenizers that drop white space before they split (the regular expression of their
-    pre-tokenizer matches none, and no added token contains or strips any): then the ids of a text
-    are those of its chunks in order. ``tests/llm/test_tokens.py`` holds this against whole texts.
+    Valid for tokenizers that lower-case, and that drop white space and cut letters from a run of marks
+    before they split (no added token contains white space or a mark of ``TAIL``): then the ids of a
+    text are those of its chunks in order, and a chunk's are those of its letters and of its tail.
+    ``tests/llm/test_tokens.py`` holds this against whole texts.
     """
 
     def __init__(self, path: str):
@@ -48,21 +51,30 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, chunks: list[bytes]) -> None:
+        for i in range(0, len(chunks), 4096):
+            part = chunks[i : i + 4096]
+            for chunk, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)):
+                ids = e.ids
+                self.known[chunk] = struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
+
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, packed."""
-        split = [t.split() for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known = {}
         known = self.known
-        missing = list(set().union(*split).difference(known)) if split else []
-        once = {}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            found = self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)
-            for chunk, e in zip(part, found):
-                (known if len(chunk) <= CACHE_BYTES else once)[chunk] = np.array(e.ids, self.dtype).tobytes()
-        get = (known | once).__getitem__ if once and len(known) < 4096 else (lambda c: known.get(c) or once.get(c, b"")) if once else known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        missing = set().union(*split).difference(known)
+        stems = {c: s for c in missing if len(s := c.rstrip(TAIL)) < len(c) and s[-1:].isalpha()}
+        parts = missing.difference(stems).union(stems.values(), (c[len(s) :] for c, s in stems.items()))
+        self._learn(list(parts.difference(known)))
+        for c, s in stems.items():
+            known[c] = known[s] + known[c[len(s) :]]
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for c in missing | parts:
+            if len(c) > CACHE_BYTES:
+                known.pop(c, None)
+        return out
 
 
 _encoders: dict[str, ChunkEncoder] = {}
