@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from tessera.llm.media import op8_media_columns
+from tessera.llm.sharding import op7_sharding
+from tessera.llm.simhash import op1_simhash_dedup
 from tessera.llm.tokens import op10_token_output
+from tessera.llm.urls import op6_sql, op6_url_filters
 
-QUERIES = {"op10_token_output": op10_token_output}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
+    "op6_url_filters": op6_url_filters,
+    "op7_sharding": op7_sharding,
+    "op8_media_columns": op8_media_columns,
+    "op10_token_output": op10_token_output,
+}
+ORACLES: dict[str, str] = {"op6_url_filters": op6_sql()}
