@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.langid import op9_language_id
 from tessera.llm.media import op8_media_columns
 from tessera.llm.sharding import op7_sharding
 from tessera.llm.simhash import op1_simhash_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_sharding": op7_sharding,
     "op8_media_columns": op8_media_columns,
+    "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
 }
 ORACLES: dict[str, str] = {"op6_url_filters": op6_sql()}
