@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.langid import op9_language_id
 from tessera.llm.media import op8_media_columns
+from tessera.llm.mixing import op4_mixing, op4_sql
 from tessera.llm.sharding import op7_sharding
 from tessera.llm.simhash import op1_simhash_dedup
 from tessera.llm.tokens import op10_token_output
@@ -11,10 +12,11 @@ from tessera.llm.urls import op6_sql, op6_url_filters
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op4_mixing": op4_mixing,
     "op6_url_filters": op6_url_filters,
     "op7_sharding": op7_sharding,
     "op8_media_columns": op8_media_columns,
     "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
 }
-ORACLES: dict[str, str] = {"op6_url_filters": op6_sql()}
+ORACLES: dict[str, str] = {"op4_mixing": op4_sql(), "op6_url_filters": op6_sql()}
