@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontam import op2_decontamination
 from tessera.llm.langid import op9_language_id
 from tessera.llm.media import op8_media_columns
 from tessera.llm.mixing import op4_mixing, op4_sql
@@ -12,6 +13,7 @@ from tessera.llm.urls import op6_sql, op6_url_filters
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_decontamination": op2_decontamination,
     "op4_mixing": op4_mixing,
     "op6_url_filters": op6_url_filters,
     "op7_sharding": op7_sharding,
