@@ -88,3 +88,14 @@ def partitions(spark: SparkSession) -> int:
 def blank(c: str | Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def bounded_sample(df: DataFrame, bound: int, *keys: str) -> DataFrame:
+    """About twice ``bound`` rows of ``df`` (all, if there are no more), by a hash ``h`` of ``keys``.
+
+    For fitting alone. The caller orders by ``h`` and limits; thinning first keeps what each task
+    sends to the driver small, however many tasks there are.
+    """
+    share = min(1.0, 2 * bound / max(1, df.select(*keys).count()))
+    hashed = df.withColumn("h", F.xxhash64(*keys))
+    return hashed if share == 1.0 else hashed.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.birnn import ByteTagger
-from tessera.llm.common import prepare, table
+from tessera.llm.common import bounded_sample, prepare, table
 
 #: Bytes of a segment; every segment of a text is labelled, so every byte is.
 SEGMENT = 128
@@ -47,7 +47,7 @@ def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, hidden: int = HIDDE
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     spans = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("text") - SEGMENT, F.lit(1))).cast("int") + 1, F.lit(SEGMENT)).alias(f"part{i}") for i in range(PARTS)]
-    rows = usable.select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "lang", *spans).orderBy("h", "lang", *[f"part{i}" for i in range(PARTS)]).limit(documents).collect()
+    rows = bounded_sample(usable, documents, "doc_id").select("h", "lang", *spans).orderBy("h", "lang", *[f"part{i}" for i in range(PARTS)]).limit(documents).collect()
     found = [(r["lang"], r[f"part{i}"].encode()[:SEGMENT]) for r in rows for i in range(PARTS) if has_letter(r[f"part{i}"])]
     languages = tuple(sorted({lang for lang, _ in found}))
     if not languages:

@@ -6,6 +6,7 @@ from tessera.llm.decontam import op2_decontamination
 from tessera.llm.langid import op9_language_id
 from tessera.llm.media import op8_media_columns
 from tessera.llm.mixing import op4_mixing, op4_sql
+from tessera.llm.quality import op3_quality
 from tessera.llm.sharding import op7_sharding
 from tessera.llm.simhash import op1_simhash_dedup
 from tessera.llm.tokens import op10_token_output
@@ -14,6 +15,7 @@ from tessera.llm.urls import op6_sql, op6_url_filters
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op6_url_filters": op6_url_filters,
     "op7_sharding": op7_sharding,
