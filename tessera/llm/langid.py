@@ -118,3 +118,20 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more, as they are."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            known = [i for i, t in enumerate(texts) if model.net is not None and has_letter(t)]
+            keep = np.zeros(len(texts), bool)
+            if known:
+                keep[known] = pooled(model, [texts[i].encode() for i in known]).max(axis=1) >= least
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

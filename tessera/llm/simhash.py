@@ -28,6 +28,10 @@ RADIUS = 1
 #: Members of an anchor that one task compares; larger anchors are cut into squares of this side.
 MEMBERS = 1 << 17
 KEY_BITS = 40
+#: Comparisons of an anchor made at once, and links a member up to which all are told where asked for.
+DENSE, FULL_LINKS = 1 << 23, 16
+#: The smallest shingle hashes that stand for a text where similarities are confirmed.
+SKETCH = 256
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -137,6 +141,17 @@ def forest(homes: np.ndarray, others: np.ndarray, distance: int) -> list[tuple[n
     return out
 
 
+def bucket_links(homes: np.ndarray, others: np.ndarray, distance: int, full: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of one anchor: all of them if ``full`` and they are few for its members, else a forest."""
+    if full and len(homes) * (len(homes) + len(others)) <= DENSE:
+        members = np.concatenate([homes, others])
+        i, j = np.nonzero(np.bitwise_count(homes[:, None] ^ members[None, :]) <= distance)
+        if len(i) <= len(homes) + FULL_LINKS * len(members):
+            keep = homes[i] != members[j]
+            return [(homes[i[keep]], members[j[keep]])] if keep.any() else []
+    return forest(homes, others, distance)
+
+
 def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     a, b = (np.concatenate([p[i] for p in pairs]).view(np.int64) for i in (0, 1))
     return a, b
@@ -168,11 +183,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield key, np.concatenate(held), not parts
 
 
-def links(fps: DataFrame, distance: int = 4, blocks: int = 3) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, blocks: int = 3, full: bool = False) -> DataFrame:
     """(a, b) of fingerprints that differ in at most ``distance`` bits, as few as keep them connected.
 
     ``fps`` holds distinct fingerprints in a column ``fp``. No pair within ``distance`` is missed in
-    its connectivity. Anchors of over ``MEMBERS`` members are set aside, cut into squares and
+    its connectivity; with ``full`` every link is told except in anchors that are thick with them.
+    Anchors of over ``MEMBERS`` members are set aside, cut into squares and
     compared square by square, so no task holds more.
     """
     spark = prepare(fps.sparkSession)
@@ -196,7 +212,7 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 3) -> DataFrame:
                 continue
             home = at_home(key, members)
             if home.any() and len(members) > 1:
-                found = forest(members[home], members[~home], distance)
+                found = bucket_links(members[home], members[~home], distance, full)
                 out += found
                 n += sum(len(f[0]) for f in found)
                 if n > 1 << 16:
@@ -234,6 +250,35 @@ def _squares(large: DataFrame, at_home, distance: int) -> DataFrame:
     return as_home.unionByName(as_other).groupBy("anchor", "i", "j").applyInArrow(square, "a long, b long")
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    return np.unique((hashes >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+
+
+def similarity(x: bytes, y: bytes) -> float:
+    """The Jaccard similarity of two sketches: exact below SKETCH shingles, else estimated from the smallest of both."""
+    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.union1d(a, b)
+    if max(len(a), len(b)) == SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, a, assume_unique=True)[np.isin(both, b, assume_unique=True)].sum() / len(both))
+
+
+def confirmed(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The ``edges`` (a, b) whose texts have a similarity of ``least`` or more; ``sketches`` is (fp, sketch)."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [similarity(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("fp").alias(end), F.col("sketch").alias(f"of_{end}")), end)
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, blocks: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id): documents whose fingerprints are linked share a component.
 
@@ -246,11 +291,49 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, blocks:
     """
     marked = settle(fingerprints(docs, words), "fingerprints")
     distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    reps = components(links(distinct, distance, blocks))
+    named = _named(distinct, components(links(distinct, distance, blocks)))
+    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(distinct: DataFrame, reps: DataFrame) -> DataFrame:
+    """(fp, component_id) from the smallest doc_id of each fingerprint and the components of fingerprints."""
     rooted = distinct.join(reps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("rep", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fp", "first", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 11, blocks: int = 4) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: that of the smallest doc_id.
+
+    Fingerprints of ``words``-word shingles link at ``distance`` or fewer bits where the texts'
+    shingle sets, by sketches of the ``SKETCH`` smallest hashes, also have a Jaccard similarity of
+    ``least`` or more; equal fingerprints are one group. Of a group whose smallest doc_id recurs one
+    row stays; a null doc_id stays only where its group has no other. Columns are those of ``docs``.
+    """
+    prepare(docs.sparkSession)
+    at, own = docs.columns.index("text"), "tessera_fp"
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_hashes(t or b"", words) for t in utf8(b.column(1))]
+            fps = np.fromiter(map(fingerprint, hashes), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([_sketch(h) for h in hashes], pa.binary())], names=["doc_id", "fp", "sketch"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.fromiter((fingerprint(shingle_hashes(t or b"", words)) for t in utf8(b.column(at))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, own])
+
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(mark, "doc_id long, fp long, sketch binary")
+    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch")), "distinct")
+    near = confirmed(links(distinct, distance, blocks, full=True), distinct, least)
+    named = settle(_named(distinct.select("fp", "first"), components(near)), "named")
+    # A group's row is that of the fingerprint which holds its smallest doc_id.
+    kept = named.groupBy("component_id").agg(F.min(F.when(F.col("first").eqNullSafe(F.col("component_id")), F.col("fp"))).alias(own)).select(F.col("component_id").alias("tessera_id"), own)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{own}` long"
+    rows = docs.mapInArrow(add, schema)
+    joined = rows.join(kept, (rows[own] == kept[own]) & rows["doc_id"].cast("long").eqNullSafe(kept["tessera_id"])).select(*[rows[c] for c in rows.columns])
+    return joined.dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

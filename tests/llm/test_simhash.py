@@ -113,3 +113,53 @@ def test_empty_null_ids_and_repeats(spark):
     docs = spark.createDataFrame([(None, "same words here now again"), (7, "same words here now again"), (7, "same words here now again")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(docs).collect()] == [7, 7, 7]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_keep_one_of_each_group(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, near, ids = [], [], iter(rng.sample(range(10_000), 10_000))
+    for _ in range(30):
+        base = [word() for _ in range(rng.randrange(60, 240))]
+        group = [(next(ids), " ".join(base))]
+        for _ in range(rng.randrange(4)):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 2 + len(base) // 120)):
+                copy[rng.randrange(len(copy))] = word()
+            group.append((next(ids), " ".join(copy)))
+        group.append((next(ids), " ".join(base)))
+        near.append(group)
+        rows += group
+    half = near[0][0][1].split()
+    other = (20_000, " ".join(half[: len(half) // 2] + [word() for _ in half]))
+    docs = spark.createDataFrame([(*r, "x") for r in [*rows, other, near[1][0], (20_001, "short one"), (None, "no id")]], "doc_id long, text string, fp string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    left = {r.doc_id for r in got.collect()}
+    want, planted = set(), sum(map(len, near)) - len(near)
+    for group in near:
+        sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in group]
+        fps = [brute_fingerprint(t, 5) for _, t in group]
+        linked = lambda i, j: fps[i] == fps[j] or (fps[i] ^ fps[j]).bit_count() <= 11 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        todo = set(range(len(group)))
+        while todo:
+            reach, queue = set(), [min(todo)]
+            while queue:
+                i = queue.pop()
+                reach.add(i)
+                queue += [j for j in todo - reach if linked(i, j)]
+            todo -= reach
+            want.add(min(group[i][0] for i in reach))
+    assert left == want | {20_000, 20_001, None}
+    assert planted - (len(want) - len(near)) >= 0.85 * planted
+    assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    for share in (0.5, 0.8, 0.95):
+        b = np.concatenate([a[: int(4000 * share)], rng.integers(0, 2**64, 4000 - int(4000 * share), dtype=np.uint64)])
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert simhash.similarity(simhash._sketch(a), simhash._sketch(b)) == pytest.approx(true, abs=0.1)
+    assert simhash.similarity(simhash._sketch(a[:10]), simhash._sketch(a[5:20])) == 5 / 20
