@@ -9,6 +9,7 @@ from tessera.llm.mixing import op4_mixing, op4_sql
 from tessera.llm.quality import op3_quality
 from tessera.llm.sharding import op7_sharding
 from tessera.llm.simhash import op1_simhash_dedup
+from tessera.llm.suffix import op5_suffix_dedup
 from tessera.llm.tokens import op10_token_output
 from tessera.llm.urls import op6_sql, op6_url_filters
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_url_filters": op6_url_filters,
     "op7_sharding": op7_sharding,
     "op8_media_columns": op8_media_columns,
