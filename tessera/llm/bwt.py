@@ -20,21 +20,21 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
         part[: n - k] = x[k:]
         part[left <= k] = 0
         rank = rank << np.uint64(9) | part
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     h, most = 7, int(left.max(initial=0))
     while True:
         key = rank[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         number = np.cumsum(new).astype(np.uint64)
-        if h >= most or number[-1] == n:
-            return order
         rank = np.empty(n, np.uint64)
         rank[order] = number
+        if h >= most or number[-1] == n:
+            return np.argsort(rank << np.uint64(32) | np.arange(n, dtype=np.uint64))
         after = np.zeros(n, np.uint64)
         after[: n - h] = rank[h:]
         after[left <= h] = 0
         rank = rank << np.uint64(32) | after
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         h *= 2
 
 
@@ -57,20 +57,23 @@ def boundaries(text: np.ndarray, left: np.ndarray, order: np.ndarray, least: int
     # The rows whose suffix has a byte before it in its string, by that byte, then in order.
     rows = np.flatnonzero(~start[order])
     before = text[order[rows] - 1]
-    by_byte = np.argsort(before, kind="stable")
+    by_byte = np.argsort(before, kind="stable")  # radix sort
     rows, before = rows[by_byte], before[by_byte]
     image = at[order[rows] - 1]
     alone = np.ones(len(rows), bool)
     alone[1:] = before[1:] != before[:-1]
     last = np.concatenate([[0], rows[:-1]]) if len(rows) else rows
     active = np.flatnonzero(~alone & ~split[image])
+    i, p, to = (x[active].astype(np.int32) for x in (rows, last, image))
     for length in range(2, least + 1):
-        count = np.cumsum(split)
-        hit = count[rows[active]] > count[last[active]]
+        count = np.cumsum(split, dtype=np.int32)
+        hit = count[i] > count[p]
         if length == 2:
             # A suffix of one byte, and the first longer one of its byte, share no more than that byte.
             split[left[order] == 1] = True
             split[image[alone]] = True
-        split[image[active[hit]]] = True
-        active = active[~hit]
+        if hit.any():
+            split[to[hit]] = True
+            stay = ~hit
+            i, p, to = i[stay], p[stay], to[stay]
     return split

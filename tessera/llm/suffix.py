@@ -1,12 +1,13 @@
 """Removal of repeated byte strings, by suffix structures over pieces that could repeat.
 
 One transform of a whole corpus would be one task. Here every window of ``least`` bytes is sent where
-its minimizer (the smallest hash of its 24-byte substrings) sends it, so equal windows meet and a
+its minimizer (the smallest hash of its 20-byte substrings) sends it, so equal windows meet and a
 bucket's transform is of bounded size. Three steps, each with its sums made before the shuffle:
 
 1. which minimizers more than one document has; only hashes are moved;
-2. of windows with such a minimizer, the pieces of text, equal pieces of a batch once; at each bucket
-   the transform's intervals tell which windows are equal and the smallest doc_id of each;
+2. of windows with such a minimizer, the pieces of text, equal pieces once; at each bucket the
+   transform's intervals tell which windows of different pieces are equal, and the smallest doc_id of
+   each. A minimizer that only one piece is left of has nothing to be compared with;
 3. the spans of each document are joined to its text and cut out.
 """
 
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 from tessera.llm.bwt import boundaries, suffix_order
 from tessera.llm.common import blank, prepare, table, utf8
 
-GRAM = 24
-#: Bytes of text of a bucket on average, and of texts that are hashed at a time.
-BUCKET_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
+GRAM = 20
+#: Bytes of text of a bucket on average, of texts that are hashed at a time, and of pieces of one transform.
+BUCKET_BYTES, CHUNK_BYTES, TRANSFORM_BYTES = 16 << 20, 1 << 20, 1 << 17
+#: Bits of a text's number among those read together.
+OWNER_BITS = 20
 NO_ID = -(2**63)
 
 
@@ -38,7 +41,7 @@ def minimizers(text: np.ndarray, least: int) -> np.ndarray:
         x = x[:-k] << np.uint64(8 * k) | x[k:]
     m = len(text) - GRAM + 1
     h = x[:m] * np.uint64(0x9E3779B97F4A7C15)
-    for shift, k in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9)):
+    for shift, k in ((8, 0xC2B2AE3D27D4EB4F), (GRAM - 8, 0x165667B19E3779F9)):
         h ^= h >> np.uint64(29)
         h += x[shift : m + shift] * np.uint64(k)
     h ^= h >> np.uint64(32)
@@ -91,13 +94,6 @@ def _split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), h.astype(np.uint32)
 
 
-def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    if len(order):
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            yield int(bucket[part[0]]), part
-
-
 def _held(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list]]:
     """The first ``columns`` of some MB of rows at a time, texts as bytes; documents' rows stay in order."""
     held, size = None, 0
@@ -105,7 +101,7 @@ def _held(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list
         new = [list(utf8(b.column(i))) if pa.types.is_string(b.column(i).type) or pa.types.is_large_string(b.column(i).type) else b.column(i).to_pylist() for i in range(columns)]
         held = new if held is None else [x + y for x, y in zip(held, new)]
         size += b.nbytes
-        if size > 8 * CHUNK_BYTES:
+        if size > 4 * CHUNK_BYTES:
             yield held
             held, size = None, 0
     if held is not None and held[0]:
@@ -120,26 +116,27 @@ def _first_pass(least: int, buckets: int):
                 continue
             owner, h = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             bucket, low = _split(h, buckets)
-            order = np.lexsort((low, owner, bucket))
-            bucket, low, owner = bucket[order], low[order], owner[order]
-            keep = np.ones(len(low), bool)
-            keep[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-            bucket, low, owner = bucket[keep], low[keep], owner[keep]
+            packed = np.unique(bucket.astype(np.uint64) << np.uint64(32 + OWNER_BITS) | owner.astype(np.uint64) << np.uint64(32) | low)
+            bucket, low = (packed >> np.uint64(32 + OWNER_BITS)).astype(np.int32), packed.astype(np.uint32)
+            owner = (packed >> np.uint64(32)).astype(np.int64) & ((1 << OWNER_BITS) - 1)
             ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
             out = []
-            for n, part in _by_bucket(bucket):
-                who, count = np.unique(owner[part], return_counts=True)
-                out.append((n, ids[who].tobytes(), keys[who].tobytes(), count.astype(np.int32).tobytes(), low[part].tobytes()))
+            for part in np.split(np.arange(len(packed)), np.flatnonzero(np.diff(bucket)) + 1):
+                heads = np.flatnonzero(np.diff(owner[part], prepend=-1))
+                who = owner[part[heads]]
+                count = np.diff(np.append(heads, len(part))).astype(np.int32)
+                out.append((int(bucket[part[0]]), ids[who].tobytes(), keys[who].tobytes(), count.tobytes(), low[part].tobytes()))
             yield _rows(out, FIRST)
 
     return run
 
 
 FIRST = [("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())]
-SHARED = [("id", pa.int64()), ("key", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())]
-#: Pieces of a bucket (sizes and text of each; which piece, id, key and start of each place), or spans of one document.
-PIECES = [("bucket", pa.int32()), ("text", pa.binary()), ("sizes", pa.binary()), ("which", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("spans", pa.binary())]
-SPANS = [("id", pa.int64()), ("key", pa.int64()), ("spans", pa.binary())]
+#: What many documents of one part are told: ids, keys and how many bytes of ``data`` are each one's.
+TOLD = [("part", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]
+ONE = [("id", pa.int64()), ("key", pa.int64()), ("data", pa.binary())]
+#: Pieces of a bucket (text compressed, sizes, 32 bits of the minimizer; which piece, id, key and start of each place), or spans of documents.
+PIECES = [("bucket", pa.int32()), ("text", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("which", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("spans", pa.binary())]
 SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 
 
@@ -156,22 +153,52 @@ def _column(t: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(t[name].to_pylist()), kind)
 
 
-def _shared(t: pa.Table) -> pa.Table:
+def _told(bucket: int, parts: int, docs: list[tuple[int, int, bytes]]) -> list[tuple]:
+    """Rows of TOLD for what ``docs`` (id, key, data) are told, a row for each part they lie in."""
+    by: dict[int, list] = {}
+    for d in docs:
+        by.setdefault(d[1] % parts, []).append(d)
+    pack = lambda own, i: np.array([d[i] for d in own], "<i8").tobytes()
+    return [(part, bucket, pack(own, 0), pack(own, 1), np.array([len(d[2]) for d in own], "<i4").tobytes(), b"".join(d[2] for d in own)) for part, own in by.items()]
+
+
+def _shared(parts: int):
     """Of one bucket, for each document the hashes that another document has too."""
-    ids, keys, counts, hashes = _column(t, "ids", "<i8"), _column(t, "keys", "<i8"), _column(t, "counts", "<i4"), _column(t, "hashes", "<u4")
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    twice = np.zeros(len(hashes), bool)
-    same = ranked[1:] == ranked[:-1]
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    ends = np.cumsum(counts)
-    kept = np.concatenate([[0], np.cumsum(twice)])
-    blob, out, bucket = hashes[twice], [], t["bucket"][0].as_py()
-    low, high = kept[ends - counts], kept[ends]
-    for i in np.flatnonzero(high > low).tolist():
-        out.append((int(ids[i]), int(keys[i]), bucket, blob[low[i] : high[i]].tobytes()))
-    return pa.Table.from_batches([_rows(out, SHARED)])
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, keys, counts, hashes = _column(t, "ids", "<i8"), _column(t, "keys", "<i8"), _column(t, "counts", "<i4"), _column(t, "hashes", "<u4")
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        twice = np.zeros(len(hashes), bool)
+        same = ranked[1:] == ranked[:-1]
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        ends = np.cumsum(counts)
+        kept = np.concatenate([[0], np.cumsum(twice)])
+        data, bucket = hashes[twice].tobytes(), t["bucket"][0].as_py()
+        low, high = 4 * kept[ends - counts], 4 * kept[ends]
+        at = np.flatnonzero(high > low)
+        docs = [(i, k, data[a:b]) for i, k, a, b in zip(ids[at].tolist(), keys[at].tolist(), low[at].tolist(), high[at].tolist())]
+        return pa.Table.from_batches([_rows(_told(bucket, parts, docs), TOLD)])
+
+    return run
+
+
+def _gather(codes: bool):
+    """Of one part, a row for each document with all it was told; hashes with their bucket if ``codes``."""
+
+    def run(t: pa.Table) -> pa.Table:
+        by: dict[tuple[int, int], list[bytes]] = {}
+        for r in t.to_pylist():
+            data, sizes = r["data"], np.frombuffer(r["sizes"], "<i4")
+            if codes:
+                data, sizes = (np.frombuffer(data, "<u4") | np.uint64(r["bucket"] << 32)).tobytes(), sizes * 2
+            ends = np.cumsum(sizes)
+            for i, k, a, b in zip(np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["keys"], "<i8").tolist(), (ends - sizes).tolist(), ends.tolist()):
+                by.setdefault((i, k), []).append(data[a:b])
+        return pa.Table.from_batches([_rows([(*doc, b"".join(own)) for doc, own in by.items()], ONE)])
+
+    return run
 
 
 class Gathered:
@@ -179,6 +206,7 @@ class Gathered:
 
     def __init__(self):
         self.least: dict[bytes, list] = {}
+        self.codes: dict[bytes, int] = {}
         self.spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def cover(self, doc: tuple[int, int], start: int, stop: int) -> None:
@@ -188,10 +216,11 @@ class Gathered:
         else:
             own.append((start, stop))
 
-    def add(self, piece: bytes, doc: tuple[int, int], start: int) -> None:
+    def add(self, piece: bytes, code: int, doc: tuple[int, int], start: int) -> None:
         held = self.least.get(piece)
         if held is None:
             self.least[piece] = [(doc, start)]
+            self.codes[piece] = code
         elif doc[0] > held[0][0][0]:
             self.cover(doc, start, start + len(piece))
         elif doc[0] == held[0][0][0]:
@@ -210,68 +239,90 @@ def _second_pass(least: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, texts, shared in _held(batches, 4):
             own, docs = {}, list(zip(ids, keys))
-            wanted = [np.concatenate([np.frombuffer(s["hashes"], "<u4") | np.uint64(s["bucket"] << 32) for s in one]) for one in shared]
+            counts = [len(x) // 8 for x in shared]
+            wanted = np.frombuffer(b"".join(shared), "<u8")
+            wanted = np.unique(wanted | np.repeat(np.arange(len(texts), dtype=np.uint64), counts) << np.uint64(64 - OWNER_BITS))
             spans = Gathered()
             for joined, owner, start, local, windows, h in runs(texts, least):
                 bucket, low = _split(h, buckets)
-                code = bucket.astype(np.uint64) << np.uint64(32) | low
-                keep = np.zeros(len(h), bool)
-                edges = np.flatnonzero(np.diff(owner)) + 1
-                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(owner)]):
-                    keep[a:b] = np.isin(code[a:b], wanted[owner[a]])
-                at = np.flatnonzero(keep)
-                for n, d, i, j, size in zip(bucket[at].tolist(), owner[at].tolist(), start[at].tolist(), local[at].tolist(), (windows[at] + least - 1).tolist()):
+                code = owner.astype(np.uint64) << np.uint64(64 - OWNER_BITS) | bucket.astype(np.uint64) << np.uint64(32) | low
+                found = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
+                at = np.flatnonzero(wanted[found] == code)
+                for n, c, d, i, j, size in zip(bucket[at].tolist(), low[at].tolist(), owner[at].tolist(), start[at].tolist(), local[at].tolist(), (windows[at] + least - 1).tolist()):
                     if n not in own:
                         own[n] = Gathered()
                         own[n].spans = spans.spans
-                    own[n].add(joined[i : i + size], docs[d], j)
+                    own[n].add(joined[i : i + size], c, docs[d], j)
             out = []
             for n, g in own.items():
                 pieces = list(g.least)
                 which = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(g.least[p]) for p in pieces])
                 places = [x for p in pieces for x in g.least[p]]
-                out.append((n, b"".join(pieces), np.array(list(map(len, pieces)), "<i4").tobytes(), which.tobytes(), np.array([d[0] for d, _ in places], "<i8").tobytes(), np.array([d[1] for d, _ in places], "<i8").tobytes(), np.array([a for _, a in places], "<i4").tobytes(), None))
-            for doc, found in spans.spans.items():
-                out.append((doc[1] % buckets, None, None, None, np.int64(doc[0]).tobytes(), np.int64(doc[1]).tobytes(), None, _blob(found)))
+                out.append((n, pa.compress(b"".join(pieces), "zstd", asbytes=True), np.array(list(map(len, pieces)), "<i4").tobytes(), np.array([g.codes[p] for p in pieces], "<u4").tobytes(), which.tobytes(), np.array([d[0] for d, _ in places], "<i8").tobytes(), np.array([d[1] for d, _ in places], "<i8").tobytes(), np.array([a for _, a in places], "<i4").tobytes(), None))
+            for part, _, i, k, sizes, data in _told(0, buckets, [(*doc, _blob(found)) for doc, found in spans.spans.items()]):
+                out.append((part, None, sizes, None, None, i, k, None, data))
             yield _rows(out, PIECES)
 
     return run
 
 
-def _expand(least: int):
+def _comparable(g: Gathered) -> Iterator[list[bytes]]:
+    """The pieces whose minimizer another piece has too, those of one minimizer together, some at a time."""
+    by: dict[int, list[bytes]] = {}
+    for piece, code in g.codes.items():
+        by.setdefault(code, []).append(piece)
+    held, size = [], 0
+    for own in by.values():
+        if len(own) > 1:
+            held += own
+            size += sum(map(len, own))
+            if size > TRANSFORM_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _transform(g: Gathered, pieces: list[bytes], least: int) -> None:
+    """Cover the windows of ``pieces`` that a piece of a smaller id has, by the intervals of their transform."""
+    sizes = np.array(list(map(len, pieces)), np.int64)
+    ends = np.cumsum(sizes)
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    left = np.repeat(ends, sizes) - np.arange(len(text))
+    owner = np.repeat(np.array([g.least[p][0][0][0] for p in pieces], np.int64), sizes)
+    order = suffix_order(text, left)
+    heads = np.flatnonzero(boundaries(text, left, order, least))
+    smallest = np.empty(len(text), np.int64)
+    smallest[order] = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(text))))
+    repeated = (smallest < owner) & (left >= least)
+    edge = np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]]))
+    low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # Windows of two pieces are apart: the last bytes of a piece start none.
+    piece = np.searchsorted(ends, low, "right")
+    base = (ends - sizes)[piece]
+    for n, a, b in zip(piece.tolist(), (low - base).tolist(), (high - 1 - base + least).tolist()):
+        for doc, start in g.least[pieces[n]]:
+            g.cover(doc, start + a, start + b)
+
+
+def _expand(least: int, parts: int):
     """What a bucket adds to the spans of documents: equal pieces, then windows by the transform's intervals."""
 
     def run(t: pa.Table) -> pa.Table:
         g, out = Gathered(), []
         for r in t.to_pylist():
             if r["spans"] is not None:
-                out.append((int(np.frombuffer(r["ids"], "<i8")[0]), int(np.frombuffer(r["keys"], "<i8")[0]), r["spans"]))
+                out.append((int(t["bucket"][0].as_py()), 0, r["ids"], r["keys"], r["sizes"], r["spans"]))
                 continue
             ends = np.cumsum(np.frombuffer(r["sizes"], "<i4")).tolist()
-            pieces = [r["text"][a:b] for a, b in zip([0, *ends[:-1]], ends)]
+            text, codes = pa.decompress(r["text"], ends[-1], "zstd", asbytes=True), np.frombuffer(r["codes"], "<u4").tolist()
+            pieces = [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
             for n, i, k, a in zip(*(np.frombuffer(r[c], x).tolist() for c, x in (("which", "<i4"), ("ids", "<i8"), ("keys", "<i8"), ("starts", "<i4")))):
-                g.add(pieces[n], (i, k), a)
-        pieces = list(g.least)
-        if pieces:
-            sizes = np.array(list(map(len, pieces)), np.int64)
-            ends = np.cumsum(sizes)
-            text = np.frombuffer(b"".join(pieces), np.uint8)
-            left = np.repeat(ends, sizes) - np.arange(len(text))
-            owner = np.repeat(np.array([g.least[p][0][0][0] for p in pieces], np.int64), sizes)
-            order = suffix_order(text, left)
-            heads = np.flatnonzero(boundaries(text, left, order, least))
-            smallest = np.empty(len(text), np.int64)
-            smallest[order] = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(text))))
-            repeated = (smallest < owner) & (left >= least)
-            edge = np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]]))
-            low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            piece = np.searchsorted(ends, low, "right")
-            # Windows of two pieces are apart: the last bytes of a piece start none.
-            for n, a, b in zip(piece.tolist(), (low - (ends - sizes)[piece]).tolist(), (high - 1 - (ends - sizes)[piece] + least).tolist()):
-                for doc, start in g.least[pieces[n]]:
-                    g.cover(doc, start + a, start + b)
-        out += [(*doc, _blob(found)) for doc, found in g.spans.items()]
-        return pa.Table.from_batches([_rows(out, SPANS)])
+                g.add(pieces[n], codes[n], (i, k), a)
+        for pieces in _comparable(g):
+            _transform(g, pieces, least)
+        out += _told(0, parts, [(*doc, _blob(found)) for doc, found in g.spans.items()])
+        return pa.Table.from_batches([_rows(out, TOLD)])
 
     return run
 
@@ -280,8 +331,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "key", "n_bytes", "n_removed", "n_spans", "kept"]
     for b in batches:
         rows = []
-        for i, k, text, blobs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), b.column(3).to_pylist()):
-            spans = np.frombuffer(b"".join(blobs or []), "<i4").reshape(-1, 2)
+        for i, k, text, told in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), b.column(3).to_pylist()):
+            spans = np.frombuffer(told or b"", "<i4").reshape(-1, 2)
             kept, at, removed, n = [], 0, 0, 0
             for a, z in spans[np.argsort(spans[:, 0], kind="stable")].tolist():
                 if a > at or not n:
@@ -314,11 +365,10 @@ def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size // BUCKET_BYTES + 4)
     first = rows.mapInArrow(_first_pass(least, buckets), _schema(FIRST))
-    shared = first.groupBy("bucket").applyInArrow(_shared, _schema(SHARED))
-    lists = shared.groupBy("id", "key").agg(F.collect_list(F.struct("bucket", "hashes")).alias("shared"))
-    pieces = rows.join(lists.hint("merge"), ["id", "key"]).select("id", "key", "text", "shared").mapInArrow(_second_pass(least, buckets), _schema(PIECES))
-    spans = pieces.groupBy("bucket").applyInArrow(_expand(least), _schema(SPANS)).groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
-    joined = rows.join(spans.hint("merge"), ["id", "key"], "left").select("id", "key", "text", "spans")
+    shared = first.groupBy("bucket").applyInArrow(_shared(buckets), _schema(TOLD)).groupBy("part").applyInArrow(_gather(True), _schema(ONE))
+    pieces = rows.join(shared.hint("merge"), ["id", "key"]).select("id", "key", "text", "data").mapInArrow(_second_pass(least, buckets), _schema(PIECES))
+    spans = pieces.groupBy("bucket").applyInArrow(_expand(least, buckets), _schema(TOLD)).groupBy("part").applyInArrow(_gather(False), _schema(ONE))
+    joined = rows.join(spans.hint("merge"), ["id", "key"], "left").select("id", "key", "text", "data")
     cut = joined.mapInArrow(_cut, "id long, key long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
@@ -326,3 +376,20 @@ def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"), 50)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_sql() -> str:
+    return """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(n - 49)) AS i, h FROM d WHERE n >= 50),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM w),
+m AS (SELECT s, min(doc_id) AS least FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, i FROM s JOIN m USING (s) WHERE least < doc_id),
+f AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY 1, 2),
+gaps AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM spans),
+cut AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS stop, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY k) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""

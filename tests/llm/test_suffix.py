@@ -49,6 +49,7 @@ def digest(df):
 def test_against_brute_force(spark, monkeypatch, seed, bucket, chunk):
     monkeypatch.setattr(suffix, "BUCKET_BYTES", bucket)
     monkeypatch.setattr(suffix, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(suffix, "TRANSFORM_BYTES", chunk)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_bytes int, key string")
     assert digest(suffix.remove_repeats(docs, 50)) == brute(rows, 50)
