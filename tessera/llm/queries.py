@@ -7,9 +7,9 @@ from tessera.llm.langid import op9_language_id
 from tessera.llm.media import op8_media_columns
 from tessera.llm.mixing import op4_mixing, op4_sql
 from tessera.llm.quality import op3_quality
-from tessera.llm.sharding import op7_sharding
+from tessera.llm.sharding import op7_sharding, op7_sql
 from tessera.llm.simhash import op1_simhash_dedup
-from tessera.llm.suffix import op5_suffix_dedup
+from tessera.llm.suffix import op5_sql, op5_suffix_dedup
 from tessera.llm.tokens import op10_token_output
 from tessera.llm.urls import op6_sql, op6_url_filters
 
@@ -25,4 +25,9 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_output": op10_token_output,
 }
-ORACLES: dict[str, str] = {"op4_mixing": op4_sql(), "op6_url_filters": op6_sql()}
+ORACLES: dict[str, str] = {
+    "op4_mixing": op4_sql(),
+    "op5_suffix_dedup": op5_sql(),
+    "op6_url_filters": op6_sql(),
+    "op7_sharding": op7_sql(),
+}

@@ -139,3 +139,37 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 16)
+
+
+def op7_sql(shards: int = 16) -> str:
+    """The binary search and the greedy fill as recursions; CRC-32 by its table of remainders."""
+    step = "CASE WHEN {0} % 2 = 1 THEN xor(3988292384::UBIGINT, {0} >> 1) ELSE {0} >> 1 END"
+    remainder = "i::UBIGINT"
+    for _ in range(8):
+        remainder = f"list_transform([{remainder}], lambda v: {step.format('v')})[1]"
+    byte = "('0x' || substr(h, 2 * i + 1, 2))::UBIGINT"
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
+groups AS (SELECT t, min(doc_id) AS least, sum(size)::BIGINT AS bytes FROM docs GROUP BY t),
+sums AS (SELECT least, bytes, (sum(bytes) OVER (ORDER BY least))::BIGINT AS upto FROM groups),
+facts AS (SELECT sum(bytes)::BIGINT AS total, max(bytes) AS largest, greatest(max(bytes), ceil(sum(bytes) / {shards}))::BIGINT AS low FROM sums),
+search(low, high, shard, base) AS (
+  SELECT low, (low + largest)::BIGINT, 0, 0::BIGINT FROM facts
+  UNION ALL
+  SELECT CASE WHEN shard < {shards} OR base >= total THEN s.low ELSE (s.low + s.high) // 2 + 1 END,
+    CASE WHEN base >= total THEN (s.low + s.high) // 2 ELSE s.high END,
+    CASE WHEN shard < {shards} AND base < total THEN shard + 1 ELSE 0 END,
+    CASE WHEN shard < {shards} AND base < total THEN coalesce((SELECT max(upto) FROM sums WHERE upto <= s.base + (s.low + s.high) // 2), s.base) ELSE 0 END
+  FROM search s, facts WHERE s.low < s.high),
+best AS (SELECT min(high) AS capacity FROM search WHERE low >= high),
+fill(shard, base) AS (
+  SELECT 0, 0::BIGINT
+  UNION ALL
+  SELECT shard + 1, coalesce((SELECT max(upto) FROM sums WHERE upto <= f.base + capacity), f.base) FROM fill f, best WHERE shard < {shards}),
+placed AS (SELECT least, (SELECT min(shard) FROM fill WHERE base >= upto) - 1 AS shard FROM sums),
+remainders AS (SELECT list_transform(range(256), lambda i: {remainder}) AS tab),
+crcs AS (SELECT t, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(len(h) // 2), lambda i: {byte})), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS crc
+  FROM (SELECT t, hex(encode(t)) AS h FROM groups), remainders)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM docs JOIN groups USING (t) JOIN placed USING (least) JOIN crcs USING (t)"""
