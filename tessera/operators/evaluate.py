@@ -111,3 +111,26 @@ def validate(required: DataFrame, result: DataFrame, valid: DataFrame, candidate
         part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def sweep_rules(flagged: DataFrame, keep: Column, grid: DataFrame, names: list[str], ids: DataFrame, truth: DataFrame) -> DataFrame:
+    """(part, names..., macro_f): every row of a bounded ``grid`` of parameters, in each part, in one job.
+
+    ``flagged`` is (s1, part, hit, ...) of the best pairs, ``keep`` says over a pair and a grid row
+    whether the pair is a match, ``ids`` is (s1, part). What is matched by nothing is added up once.
+    """
+    n_true = truth.groupBy("s1").agg(F.count("*").alias("n_true"))
+    at = flagged.join(F.broadcast(grid), keep).groupBy(*names, "part", "s1").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))
+    gain = f_beta(F.col("tp"), F.col("n_pred"), F.coalesce("n_true", F.lit(0))) - F.when(F.col("n_true").isNull(), 1.0).otherwise(0.0)
+    gains = at.join(n_true, "s1", "left").select(*names, "part", gain.alias("gain")).groupBy(*names, "part").agg(F.sum("gain").alias("gain"))
+    base = ids.join(n_true, "s1", "left").groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("n_true").isNull()).alias("singles"))
+    every = base.select("*", F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in grid.collect()])).alias("g")).select("part", "n", "singles", "g.*")
+    return every.join(gains, [*names, "part"], "left").select("part", *names, F.round((F.coalesce("gain", F.lit(0.0)) + F.col("singles")) / F.col("n"), 6).alias("macro_f"))
+
+
+def best_of(swept: DataFrame, names: list[str]) -> DataFrame:
+    """The best parameters of each part; ties go to the smaller values."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("part").orderBy(F.desc("macro_f"), *names)
+    return swept.withColumn("rn", F.row_number().over(by)).where("rn = 1").drop("rn")

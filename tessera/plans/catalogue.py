@@ -394,6 +394,18 @@ def join_tfidf_knn(spark, sf):
     return B.tfidf_knn(one(n), rest(n), padded_grams()).withColumn("rn", F.col("rn").cast("long"))
 
 
+_TEXT = "list_concat(core_tok, list_filter(string_split(array_to_string(comps, ' '), ' '), lambda x: x <> ''))"
+_TEXTWB = f"flatten(list_transform(list_transform({_TEXT}, lambda t: ' ' || t || ' '), lambda t: list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))))"
+
+
+@query(ORACLES["join_tfidf_knn"].replace(_WB, _TEXTWB).replace("src = 1 GROUP BY", "src > 1 GROUP BY").replace("FROM c WHERE src = 1", "FROM c WHERE src > 1").replace("df <= 0.05 * n", "df <= 0.1 * n").replace("a.id AS s1, b.id AS rec", "b.id AS s1, a.id AS rec").replace("a.src = 1 AND b.src > 1", "a.src > 1 AND b.src = 1").replace("PARTITION BY rec ORDER BY cos DESC, s1", "PARTITION BY s1 ORDER BY cos DESC, rec").replace("cos >= 0.5) WHERE rn <= 5", "cos >= 0.2) WHERE rn <= 50"))
+def join_tfidf_text_topk(spark, sf):
+    """Names and addresses together, for each source-1 row the 50 nearest records; the vocabulary is the records'."""
+    n = norm(spark, sf).withColumn("core_tok", F.concat("core_tok", X.words(joined("comps"))))
+    found = B.tfidf_knn(rest(n), one(n), padded_grams(), 50, 2, 0.1, 0.2)
+    return found.select(F.col("rec").alias("s1"), F.col("s1").alias("rec"), "cos", F.col("rn").cast("long").alias("rn"))
+
+
 _VEC = """v AS (SELECT vec_id AS id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS vec FROM embeddings),
 sc AS (SELECT a.id AS s1, b.id AS rec, round(list_cosine_similarity(a.vec, b.vec), 6) AS cos FROM v a JOIN v b USING (label) WHERE a.id % 20 = 0 AND a.id <> b.id),
 kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY cos DESC, rec) AS rn FROM sc) WHERE rn <= 5)"""
@@ -651,6 +663,46 @@ def eval_threshold_sweep(spark, sf):
     return E.sweep(D.best_per_record(pred(spark, sf)), ids(spark, sf), src.truth_pairs(spark, sf), GRID)
 
 
+T1, T2 = [0.5, 0.6, 0.7, 0.8], [0.6, 0.7, 0.8, 0.9]
+_FLAGGED = "fl AS (SELECT b.s1, b.p, b.margin, country AS part, t.rec IS NOT NULL AS hit, row_number() OVER (PARTITION BY b.s1 ORDER BY b.p DESC, b.rec) AS k FROM best b JOIN ids USING (s1) LEFT JOIN truth t ON t.s1 = b.s1 AND t.rec = b.rec), tr AS (SELECT ids.s1, country AS part, count(truth.rec) AS n_true FROM ids LEFT JOIN truth USING (s1) GROUP BY 1, 2)"
+
+
+def flagged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Best pairs with part, rank and whether they are true; source-1 rows by part; the truth."""
+    from pyspark.sql import Window
+
+    truth, parts = src.truth_pairs(spark, sf), ids(spark, sf).withColumnRenamed("country", "part")
+    rank = F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("p"), "rec"))
+    best = D.best_per_record(pred(spark, sf)).withColumn("k", rank).join(parts, "s1").join(truth.withColumn("hit", F.lit(1)), ["s1", "rec"], "left")
+    return best, parts, truth
+
+
+@query(w(S.SCORED, f""", {_FLAGGED},
+gr AS (SELECT a AS t1, b AS t2 FROM (SELECT unnest({T1}::DOUBLE[]) AS a) CROSS JOIN (SELECT unnest({T2}::DOUBLE[]) AS b)),
+pe AS (SELECT gr.t1, gr.t2, tr.part, tr.s1, n_true, count(f.p) AS n_pred, count_if(f.hit) AS tp FROM gr CROSS JOIN tr LEFT JOIN fl f ON f.s1 = tr.s1 AND f.p >= CASE WHEN f.k = 1 THEN gr.t1 ELSE gr.t2 END GROUP BY ALL),
+sw AS (SELECT part, t1, t2, round(avg({S.f_beta()}), 6) AS macro_f FROM pe GROUP BY ALL)
+SELECT part, t1, t2, macro_f FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY macro_f DESC, t1, t2) AS rn FROM sw) WHERE rn = 1""").replace("\n, fl", ",\nfl"))
+def eval_two_threshold_search(spark, sf):
+    best, parts, truth = flagged(spark, sf)
+    grid = spark.createDataFrame([(a, b) for a in T1 for b in T2], "t1 double, t2 double")
+    keep = F.col("p") >= F.when(F.col("k") == 1, F.col("t1")).otherwise(F.col("t2"))
+    return E.best_of(E.sweep_rules(best, keep, grid, ["t1", "t2"], parts, truth), ["t1", "t2"])
+
+
+LEADS = [0.05, 0.2]
+
+
+@query(w(S.SCORED, f""", {_FLAGGED},
+gr AS (SELECT a AS t_base, a - 0.2 AS t_low, l AS lead FROM (SELECT unnest({T2}::DOUBLE[]) AS a) CROSS JOIN (SELECT unnest({LEADS}::DOUBLE[]) AS l)),
+pe AS (SELECT gr.t_base, gr.lead, tr.part, tr.s1, n_true, count(f.p) AS n_pred, count_if(f.hit) AS tp FROM gr CROSS JOIN tr LEFT JOIN fl f ON f.s1 = tr.s1 AND (f.p >= gr.t_base OR (f.p >= gr.t_low AND f.margin >= gr.lead)) GROUP BY ALL)
+SELECT part, t_base, lead, round(avg({S.f_beta()}), 6) AS macro_f FROM pe GROUP BY ALL""").replace("\n, fl", ",\nfl"))
+def eval_margin_sweep(spark, sf):
+    best, parts, truth = flagged(spark, sf)
+    grid = spark.createDataFrame([(a, b) for a in T2 for b in LEADS], "t_base double, lead double")
+    keep = (F.col("p") >= F.col("t_base")) | ((F.col("p") >= F.col("t_base") - 0.2) & (F.col("margin") >= F.col("lead")))
+    return E.sweep_rules(best, keep, grid, ["t_base", "lead"], parts, truth)
+
+
 @query(w(S.SCORED, """, y AS (SELECT p.p, CASE WHEN t.rec IS NULL THEN 0 ELSE 1 END AS y FROM pred p LEFT JOIN truth t ON t.s1 = p.s1 AND t.rec = p.rec),
 m AS (SELECT CAST(count_if(p >= 0.6 AND y = 1) AS BIGINT) AS tp, CAST(count_if(p >= 0.6 AND y = 0) AS BIGINT) AS fp, CAST(count_if(p < 0.6 AND y = 1) AS BIGINT) AS fn, round(-avg(CASE WHEN y = 1 THEN ln(least(greatest(p, 1e-6), 1 - 1e-6)) ELSE ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)) END), 6) AS log_loss FROM y)
 SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(1.25 * tp / nullif(1.25 * tp + fp + 0.25 * fn, 0), 6) AS f05 FROM m""").replace("\n, y AS", ",\ny AS"))
