@@ -29,7 +29,7 @@ RADIUS = 1
 MEMBERS = 1 << 17
 KEY_BITS = 40
 #: Comparisons of an anchor made at once, and links a member up to which all are told where asked for.
-DENSE, FULL_LINKS = 1 << 23, 16
+DENSE, FULL_LINKS = 1 << 23, 4
 #: The smallest shingle hashes that stand for a text where similarities are confirmed.
 SKETCH = 256
 
@@ -117,39 +117,65 @@ def coverings(distance: int, blocks: int) -> tuple[Covering, ...]:
     return tuple(Covering(a, b - a, distance // blocks) for a, b in zip(edges, edges[1:]))
 
 
-def forest(homes: np.ndarray, others: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links from ``homes`` to both arrays, as few as keep connected what is linked.
+class Near:
+    """Which fingerprints a home links to in a block: those within ``distance`` that no earlier block shows.
+
+    Two fingerprints meet in every block in which they differ in no more than the threshold, at the
+    home of either. The first such block tells of the pair, and of two homes the smaller value.
+    """
+
+    def __init__(self, distance: int, codes: tuple[Covering, ...], block: int):
+        self.distance = distance
+        self.earlier = [(np.uint64(((1 << c.width) - 1) << c.shift), distance // len(codes)) for c in codes[:block]]
+
+    def __call__(self, x: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(ys ^ x) <= self.distance
+
+    def first(self, x: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(ys), bool)
+        for mask, threshold in self.earlier:
+            out &= np.bitwise_count((ys ^ x) & mask) > threshold
+        return out
+
+    def hits(self, x: np.uint64, ys: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self(x, ys))
+        return at[self.first(x, ys[at])] if len(at) else at
+
+
+def forest(homes: np.ndarray, others: np.ndarray, near: Near) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links from ``homes`` to both arrays, as few as keep connected what is linked here.
 
     Homes are searched breadth first. Within one search each member is linked once; a home that was
     reached is not searched for again, other members are, since another component may link to them.
     """
     out, left = [], homes
-    near = lambda x, ys: np.bitwise_count(ys ^ x) <= distance
     while len(left):
         queue, left, rest = [left[0]], left[1:], others
         while queue:
             x = queue.pop()
-            hit = near(x, left)
-            if hit.any():
-                found, left = left[hit], left[~hit]
-                out.append((np.full(len(found), x), found))
-                queue.extend(found)
-            hit = near(x, rest)
-            if hit.any():
-                found, rest = rest[hit], rest[~hit]
-                out.append((np.full(len(found), x), found))
+            hit = near.hits(x, left)
+            if len(hit):
+                out.append((np.full(len(hit), x), left[hit]))
+                queue.extend(left[hit])
+                left = np.delete(left, hit)
+            hit = near.hits(x, rest)
+            hit = hit[rest[hit] > x]
+            if len(hit):
+                out.append((np.full(len(hit), x), rest[hit]))
+                rest = np.delete(rest, hit)
     return out
 
 
-def bucket_links(homes: np.ndarray, others: np.ndarray, distance: int, full: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+def bucket_links(homes: np.ndarray, others: np.ndarray, near: Near, full: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of one anchor: all of them if ``full`` and they are few for its members, else a forest."""
     if full and len(homes) * (len(homes) + len(others)) <= DENSE:
         members = np.concatenate([homes, others])
-        i, j = np.nonzero(np.bitwise_count(homes[:, None] ^ members[None, :]) <= distance)
-        if len(i) <= len(homes) + FULL_LINKS * len(members):
-            keep = homes[i] != members[j]
-            return [(homes[i[keep]], members[j[keep]])] if keep.any() else []
-    return forest(homes, others, distance)
+        i, j = np.nonzero(near(homes[:, None], members[None, :]))
+        x, y = homes[i], members[j]
+        keep = (x < y) & near.first(x, y)
+        if keep.sum() <= FULL_LINKS * len(members):
+            return [(x[keep], y[keep])] if keep.any() else []
+    return forest(homes, others, near)
 
 
 def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +238,7 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 3, full: bool = False
                 continue
             home = at_home(key, members)
             if home.any() and len(members) > 1:
-                found = bucket_links(members[home], members[~home], distance, full)
+                found = bucket_links(members[home], members[~home], Near(distance, codes, key >> KEY_BITS), full)
                 out += found
                 n += sum(len(f[0]) for f in found)
                 if n > 1 << 16:
@@ -225,10 +251,10 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 3, full: bool = False
     first = settle(spread.mapInArrow(compare, "kind byte, a long, b long"), "links")
     edges = first.where("kind = 0").select("a", "b")
     large = first.where("kind = 1").select(F.col("a").alias("anchor"), F.col("b").alias("fp"))
-    return edges if large.isEmpty() else edges.unionByName(_squares(large, at_home, distance))
+    return edges if large.isEmpty() else edges.unionByName(_squares(large, at_home, distance, codes))
 
 
-def _squares(large: DataFrame, at_home, distance: int) -> DataFrame:
+def _squares(large: DataFrame, at_home, distance: int, codes: tuple[Covering, ...]) -> DataFrame:
     """Links within large anchors: members cut into sides of about MEMBERS, every two sides compared.
 
     The last rows of an anchor may come in a part that is no longer than MEMBERS but not whole; the
@@ -243,7 +269,7 @@ def _squares(large: DataFrame, at_home, distance: int) -> DataFrame:
     def square(key: tuple, rows: pa.Table) -> pa.Table:
         fps, home = rows["fp"].to_numpy().view(np.uint64), rows["home"].to_numpy()
         a = fps[home]
-        found = forest(a[at_home(key[0].as_py(), a)], fps[~home], distance)
+        found = forest(a[at_home(key[0].as_py(), a)], fps[~home], Near(distance, codes, key[0].as_py() >> KEY_BITS))
         x, y = _edges(found) if found else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": x[x != y], "b": y[x != y]})
 
