@@ -119,13 +119,13 @@ def _first_pass(least: int, buckets: int):
             packed = np.unique(bucket.astype(np.uint64) << np.uint64(32 + OWNER_BITS) | owner.astype(np.uint64) << np.uint64(32) | low)
             bucket, low = (packed >> np.uint64(32 + OWNER_BITS)).astype(np.int32), packed.astype(np.uint32)
             owner = (packed >> np.uint64(32)).astype(np.int64) & ((1 << OWNER_BITS) - 1)
-            ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
+            ids, keys = np.array(ids, np.int64), np.array(keys, np.int32)
             out = []
             for part in np.split(np.arange(len(packed)), np.flatnonzero(np.diff(bucket)) + 1):
                 heads = np.flatnonzero(np.diff(owner[part], prepend=-1))
                 who = owner[part[heads]]
                 count = np.diff(np.append(heads, len(part))).astype(np.int32)
-                out.append((int(bucket[part[0]]), ids[who].tobytes(), keys[who].tobytes(), count.tobytes(), low[part].tobytes()))
+                out.append((int(bucket[part[0]]), _z(ids[who].tobytes()), _z(keys[who].tobytes()), _z(count.tobytes()), low[part].tobytes()))
             yield _rows(out, FIRST)
 
     return run
@@ -135,11 +135,20 @@ FIRST = [("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("
 #: What many documents of one part are told: ids, keys and how many bytes of ``data`` are each one's.
 TOLD = [("part", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]
 ONE = [("id", pa.int64()), ("key", pa.int64()), ("data", pa.binary())]
-#: Pieces of a bucket (text compressed, sizes, 32 bits of the minimizer; which piece, id, key and start of each place), or spans of documents.
+#: Pieces of a bucket (text, sizes, 32 bits of the minimizer, all compressed; which piece, id, key and start of each place), or spans of documents.
 PIECES = [("bucket", pa.int32()), ("text", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("which", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("spans", pa.binary())]
 SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 
 
+def _z(data: bytes) -> bytes:
+    """Compressed, the length before."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _un(data: bytes) -> bytes:
+    return pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _schema(fields: list) -> str:
     return ", ".join(f"{n} {SQL[t]}" for n, t in fields)
 
@@ -150,7 +159,7 @@ def _rows(rows: list[tuple], fields: list) -> pa.RecordBatch:
 
 
 def _column(t: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(t[name].to_pylist()), kind)
+    return np.frombuffer(b"".join(map(_un, t[name].to_pylist()) if name != "hashes" else t[name].to_pylist()), kind)
 
 
 def _told(bucket: int, parts: int, docs: list[tuple[int, int, bytes]]) -> list[tuple]:
@@ -158,15 +167,15 @@ def _told(bucket: int, parts: int, docs: list[tuple[int, int, bytes]]) -> list[t
     by: dict[int, list] = {}
     for d in docs:
         by.setdefault(d[1] % parts, []).append(d)
-    pack = lambda own, i: np.array([d[i] for d in own], "<i8").tobytes()
-    return [(part, bucket, pack(own, 0), pack(own, 1), np.array([len(d[2]) for d in own], "<i4").tobytes(), b"".join(d[2] for d in own)) for part, own in by.items()]
+    pack = lambda values, kind: _z(np.array(values, kind).tobytes())
+    return [(part, bucket, pack([d[0] for d in own], "<i8"), pack([d[1] for d in own], "<i4"), pack([len(d[2]) for d in own], "<i4"), b"".join(d[2] for d in own)) for part, own in by.items()]
 
 
 def _shared(parts: int):
     """Of one bucket, for each document the hashes that another document has too."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, keys, counts, hashes = _column(t, "ids", "<i8"), _column(t, "keys", "<i8"), _column(t, "counts", "<i4"), _column(t, "hashes", "<u4")
+        ids, keys, counts, hashes = _column(t, "ids", "<i8"), _column(t, "keys", "<i4"), _column(t, "counts", "<i4"), _column(t, "hashes", "<u4")
         order = np.argsort(hashes)
         ranked = hashes[order]
         twice = np.zeros(len(hashes), bool)
@@ -190,11 +199,11 @@ def _gather(codes: bool):
     def run(t: pa.Table) -> pa.Table:
         by: dict[tuple[int, int], list[bytes]] = {}
         for r in t.to_pylist():
-            data, sizes = r["data"], np.frombuffer(r["sizes"], "<i4")
+            data, sizes = r["data"], np.frombuffer(_un(r["sizes"]), "<i4")
             if codes:
                 data, sizes = (np.frombuffer(data, "<u4") | np.uint64(r["bucket"] << 32)).tobytes(), sizes * 2
             ends = np.cumsum(sizes)
-            for i, k, a, b in zip(np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["keys"], "<i8").tolist(), (ends - sizes).tolist(), ends.tolist()):
+            for i, k, a, b in zip(np.frombuffer(_un(r["ids"]), "<i8").tolist(), np.frombuffer(_un(r["keys"]), "<i4").tolist(), (ends - sizes).tolist(), ends.tolist()):
                 by.setdefault((i, k), []).append(data[a:b])
         return pa.Table.from_batches([_rows([(*doc, b"".join(own)) for doc, own in by.items()], ONE)])
 
@@ -258,7 +267,8 @@ def _second_pass(least: int, buckets: int):
                 pieces = list(g.least)
                 which = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(g.least[p]) for p in pieces])
                 places = [x for p in pieces for x in g.least[p]]
-                out.append((n, pa.compress(b"".join(pieces), "zstd", asbytes=True), np.array(list(map(len, pieces)), "<i4").tobytes(), np.array([g.codes[p] for p in pieces], "<u4").tobytes(), which.tobytes(), np.array([d[0] for d, _ in places], "<i8").tobytes(), np.array([d[1] for d, _ in places], "<i8").tobytes(), np.array([a for _, a in places], "<i4").tobytes(), None))
+                blob = lambda values, kind: _z(np.array(values, kind).tobytes())
+                out.append((n, _z(b"".join(pieces)), blob(list(map(len, pieces)), "<i4"), blob([g.codes[p] for p in pieces], "<u4"), _z(which.tobytes()), blob([d[0] for d, _ in places], "<i8"), blob([d[1] for d, _ in places], "<i4"), blob([a for _, a in places], "<i4"), None))
             for part, _, i, k, sizes, data in _told(0, buckets, [(*doc, _blob(found)) for doc, found in spans.spans.items()]):
                 out.append((part, None, sizes, None, None, i, k, None, data))
             yield _rows(out, PIECES)
@@ -314,10 +324,10 @@ def _expand(least: int, parts: int):
             if r["spans"] is not None:
                 out.append((int(t["bucket"][0].as_py()), 0, r["ids"], r["keys"], r["sizes"], r["spans"]))
                 continue
-            ends = np.cumsum(np.frombuffer(r["sizes"], "<i4")).tolist()
-            text, codes = pa.decompress(r["text"], ends[-1], "zstd", asbytes=True), np.frombuffer(r["codes"], "<u4").tolist()
+            ends = np.cumsum(np.frombuffer(_un(r["sizes"]), "<i4")).tolist()
+            text, codes = _un(r["text"]), np.frombuffer(_un(r["codes"]), "<u4").tolist()
             pieces = [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-            for n, i, k, a in zip(*(np.frombuffer(r[c], x).tolist() for c, x in (("which", "<i4"), ("ids", "<i8"), ("keys", "<i8"), ("starts", "<i4")))):
+            for n, i, k, a in zip(*(np.frombuffer(_un(r[c]), x).tolist() for c, x in (("which", "<i4"), ("ids", "<i8"), ("keys", "<i4"), ("starts", "<i4")))):
                 g.add(pieces[n], codes[n], (i, k), a)
         for pieces in _comparable(g):
             _transform(g, pieces, least)
@@ -361,7 +371,7 @@ def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
         raise ValueError(f"least must be {GRAM} or more")
     prepare(docs.sparkSession)
     text = blank(F.col("text").cast("string"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("key"), text.alias("text"))
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size // BUCKET_BYTES + 4)
     first = rows.mapInArrow(_first_pass(least, buckets), _schema(FIRST))
