@@ -36,6 +36,7 @@ class Ladder:
     """
 
     def __init__(self, groups: DataFrame, shards: int):
+        """``groups`` is (first, bytes) with each ``first`` once."""
         self.groups, self.shards = groups, shards
         low, high, self.largest, self.total = groups.agg(F.min("first"), F.max("first"), F.max("bytes"), F.sum("bytes")).first()
         self.cells = self._split([(low, high)]) if low is not None else []
@@ -102,7 +103,7 @@ class Ladder:
 
 
 def group_sizes(sized: DataFrame) -> DataFrame:
-    """(first, bytes) of each group of equal texts; ``first`` is its smallest place."""
+    """(digest, first, bytes) of each group of equal texts; ``first`` is its smallest place."""
     return sized.groupBy("digest").agg(F.min("place").alias("first"), F.sum("size").alias("bytes"))
 
 
@@ -112,16 +113,17 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     Groups of equal texts, in the order of their smallest doc_id, are cut into contiguous shards of
     the smallest possible largest size. Returns doc_id, size, text_crc32, law, shard, slot,
     grown_shard. Size is the UTF-8 length plus 1. A null text counts as an empty one and is grouped
-    with those; a null doc_id comes before all others. Slots count from 0 in each shard, by the MD5
+    with those; a null doc_id takes its place from the hash of the text. Texts whose smallest doc_id is the
+    same (a doc_id that recurs) stay together too. Slots count from 0 in each shard, by the MD5
     of doc_id, then doc_id, size and digest; rows equal in all of these are alike. No rows: none.
     Groups too large for a share make their shard the largest; the rest is still dealt as evenly as
     the order permits. Other columns are ignored.
     """
     text = blank("text")
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62)))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) - F.lit(2**62))
     sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("digest")), "sized")
     firsts = settle(group_sizes(sized).repartitionByRange("first").sortWithinPartitions("first"), "groups")
-    _, cuts = Ladder(firsts.select("first", "bytes"), shards).cuts()
+    _, cuts = Ladder(firsts.groupBy("first").agg(F.sum("bytes").alias("bytes")), shards).cuts()
     shard = reduce(lambda a, b: a + b, [(F.col("first") >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
     dealt = sized.join(firsts.select("digest", shard.alias("shard")), "digest")
     buckets = sized.count() // SLOT_ROWS // shards + 1
