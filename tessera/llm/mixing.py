@@ -13,7 +13,7 @@ from tessera.llm.common import settle, table
 LEVELS = ("domain", "lang", "source")
 NONE = "(none)"
 #: Documents of one ordered piece of a leaf, on average.
-PIECE_ROWS = 20_000
+PIECE_ROWS = 4_000
 #: A token is a run of anything but space and the control characters 9 to 13.
 TOKEN = "[^ \\t-\\r]+"
 
@@ -58,12 +58,15 @@ def allocate(leaves: DataFrame, recipe: Recipe) -> DataFrame:
     what they cannot take to the siblings of an ancestor.
     """
     leaves = leaves.withColumn("cap", F.col("tokens") * recipe.max_epochs)
-    total = leaves.agg((F.expr(f"(sum(tokens) * {recipe.budget_num}) div {recipe.budget_den}")).alias("budget"))
-    level, parents, given = None, [], None
+    parents, given = [], None
     for level in LEVELS:
         path = [*parents, level]
-        nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("w", recipe.weight(level))
-        nodes = nodes.crossJoin(F.broadcast(total)) if given is None else nodes.join(given, parents)
+        nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("held")).withColumn("w", recipe.weight(level))
+        if given is None:
+            # A row for each domain: the one window over all of them that the tree needs.
+            nodes = nodes.withColumn("budget", F.expr(f"(sum(held) OVER (PARTITION BY 1) * {recipe.budget_num}) div {recipe.budget_den}"))
+        else:
+            nodes = nodes.join(given, parents)
         given = share(nodes, parents, level).select(*path, F.col("alloc").alias("budget"))
         parents = path
     return leaves.drop("cap").join(given, list(LEVELS)).withColumnRenamed("budget", "alloc")
