@@ -305,7 +305,8 @@ _SPECS = {
 
 
 def key_parts(spark: SparkSession, sf: str) -> DataFrame:
-    n = norm(spark, sf)
+    # Six branches start from the normalised table; a lost part is computed anew.
+    n = norm(spark, sf).persist()
     r = regions(n)
     a = r.select("id", "country", B.address_tokens(F.col("rest")).alias("atok"))
     arare = N.rare_tokens(a, N.token_frequency(a, "atok"), "atok")
