@@ -26,8 +26,8 @@ from tessera.llm.common import blank, prepare, table, utf8
 GRAM = 20
 #: Bytes of text of a bucket on average, of texts that are hashed at a time, and of pieces of one transform.
 BUCKET_BYTES, CHUNK_BYTES, TRANSFORM_BYTES = 16 << 20, 1 << 20, 1 << 17
-#: Bits of a text's number among those read together.
-OWNER_BITS = 20
+#: Fewest bits of a text's number among those read together; what 32 bits of hash and the bucket leave of 64 are used.
+OWNER_BITS = 8
 NO_ID = -(2**63)
 
 
@@ -94,8 +94,22 @@ def _split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), h.astype(np.uint32)
 
 
-def _held(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list]]:
-    """The first ``columns`` of some MB of rows at a time, texts as bytes; documents' rows stay in order."""
+def _owner_bits(buckets: int) -> int:
+    """Bits that are left for a text's number beside those of one of ``buckets``."""
+    bits = 32 - (buckets - 1).bit_length()
+    if bits < OWNER_BITS:
+        raise ValueError(f"{buckets} buckets are too many; raise BUCKET_BYTES")
+    return bits
+
+
+def _held(batches: Iterator[pa.RecordBatch], columns: int, most: int) -> Iterator[list[list]]:
+    """The first ``columns`` of some MB of rows at a time, ``most`` rows at most, texts as bytes; documents' rows stay in order."""
+    for held in _read(batches, columns):
+        for i in range(0, len(held[0]), most):
+            yield [x[i : i + most] for x in held]
+
+
+def _read(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list]]:
     held, size = None, 0
     for b in batches:
         new = [list(utf8(b.column(i))) if pa.types.is_string(b.column(i).type) or pa.types.is_large_string(b.column(i).type) else b.column(i).to_pylist() for i in range(columns)]
@@ -109,16 +123,18 @@ def _held(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list
 
 
 def _first_pass(least: int, buckets: int):
+    bits = _owner_bits(buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, texts in _held(batches, 3):
+        for ids, keys, texts in _held(batches, 3, 1 << bits):
             found = [(owner, h) for _, owner, _, _, _, h in runs(texts, least)]
             if not found:
                 continue
             owner, h = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             bucket, low = _split(h, buckets)
-            packed = np.unique(bucket.astype(np.uint64) << np.uint64(32 + OWNER_BITS) | owner.astype(np.uint64) << np.uint64(32) | low)
-            bucket, low = (packed >> np.uint64(32 + OWNER_BITS)).astype(np.int32), packed.astype(np.uint32)
-            owner = (packed >> np.uint64(32)).astype(np.int64) & ((1 << OWNER_BITS) - 1)
+            packed = np.unique(bucket.astype(np.uint64) << np.uint64(32 + bits) | owner.astype(np.uint64) << np.uint64(32) | low)
+            bucket, low = (packed >> np.uint64(32 + bits)).astype(np.int32), packed.astype(np.uint32)
+            owner = (packed >> np.uint64(32)).astype(np.int64) & ((1 << bits) - 1)
             ids, keys = np.array(ids, np.int64), np.array(keys, np.int32)
             out = []
             for part in np.split(np.arange(len(packed)), np.flatnonzero(np.diff(bucket)) + 1):
@@ -245,16 +261,18 @@ def _blob(spans: list[tuple[int, int]]) -> bytes:
 
 
 def _second_pass(least: int, buckets: int):
+    bits = _owner_bits(buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, texts, shared in _held(batches, 4):
+        for ids, keys, texts, shared in _held(batches, 4, 1 << bits):
             own, docs = {}, list(zip(ids, keys))
             counts = [len(x) // 8 for x in shared]
             wanted = np.frombuffer(b"".join(shared), "<u8")
-            wanted = np.unique(wanted | np.repeat(np.arange(len(texts), dtype=np.uint64), counts) << np.uint64(64 - OWNER_BITS))
+            wanted = np.unique(wanted | np.repeat(np.arange(len(texts), dtype=np.uint64), counts) << np.uint64(64 - bits))
             spans = Gathered()
             for joined, owner, start, local, windows, h in runs(texts, least):
                 bucket, low = _split(h, buckets)
-                code = owner.astype(np.uint64) << np.uint64(64 - OWNER_BITS) | bucket.astype(np.uint64) << np.uint64(32) | low
+                code = owner.astype(np.uint64) << np.uint64(64 - bits) | bucket.astype(np.uint64) << np.uint64(32) | low
                 found = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
                 at = np.flatnonzero(wanted[found] == code)
                 for n, c, d, i, j, size in zip(bucket[at].tolist(), low[at].tolist(), owner[at].tolist(), start[at].tolist(), local[at].tolist(), (windows[at] + least - 1).tolist()):

@@ -73,3 +73,17 @@ def test_the_smallest_documents(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted((tuple(r) for r in suffix.op5_suffix_dedup(spark, "/root/testdata/sf0.001").collect()), key=str)
     assert got == brute(rows, 50)
+
+
+def test_more_buckets_than_twelve_bits_hold(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 1)
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(len((t or "").encode()) for _, t in rows) > 1 << 13
+    assert digest(suffix.remove_repeats(docs, 50)) == brute(rows, 50)
+
+
+def test_bits_of_owners_and_buckets():
+    assert suffix._owner_bits(4) == 30 and suffix._owner_bits(1 << 24) == 8
+    with pytest.raises(ValueError):
+        suffix._owner_bits((1 << 24) + 1)
