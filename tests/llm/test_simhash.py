@@ -163,3 +163,59 @@ def test_sketches_estimate_similarity():
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert simhash.similarity(simhash._sketch(a), simhash._sketch(b)) == pytest.approx(true, abs=0.1)
     assert simhash.similarity(simhash._sketch(a[:10]), simhash._sketch(a[5:20])) == 5 / 20
+
+
+def family(seed, size, words, edits):
+    """A text and ``size`` edited copies, the text's doc_id the largest."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(words)]
+    rows = [(1000, " ".join(base))]
+    for d in range(size):
+        copy = list(base)
+        for at in rng.sample(range(words), rng.randrange(*edits)):
+            copy[at] = word()
+        rows.append((d, " ".join(copy)))
+    return rows
+
+
+def brute_kept(rows, least=0.8, distance=11):
+    """The smallest doc_id of each group, and the number of pairs that link by bits alone."""
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    fps = [brute_fingerprint(t, 5) for _, t in rows]
+    near = [[j for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= distance] for i in range(len(rows))]
+    same = lambda i, j: len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])
+    todo, kept = set(range(len(rows))), set()
+    while todo:
+        reach, queue = set(), [min(todo)]
+        while queue:
+            i = queue.pop()
+            if i not in reach:
+                reach.add(i)
+                queue += [j for j in near[i] if j not in reach and same(i, j)]
+        todo -= reach
+        kept.add(min(rows[i][0] for i in reach))
+    return kept, sum(map(len, near))
+
+
+def test_family_of_edited_copies_against_brute_force(spark):
+    rows = family(3, 300, 200, (2, 7))
+    want, close = brute_kept(rows)
+    assert close > 2 * simhash.FULL_LINKS * len(rows)
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
+
+
+def test_members_apart_are_joined_in_their_anchor():
+    """B is like C1 and C2, which are not like each other but near by bits: a forest from C1 loses C2."""
+    rng = np.random.default_rng(4)
+    b = np.unique(rng.integers(0, 2**32, 150, dtype=np.uint64))
+    new = lambda: rng.integers(0, 2**32, 15, dtype=np.uint64)
+    texts = [np.concatenate([b[15:], new()]), np.concatenate([b[:-15], new()]), b]
+    sketches = [simhash._sketch(t << np.uint64(32)) for t in texts]
+    fps = np.array([0b001, 0b010, 0b011], np.uint64)
+    near = simhash.Near(11, simhash.coverings(11, 4), 0)
+    x, y = simhash.confirmed_forest(fps, np.array([True, True, False]), fps.view(np.int64), sketches, near, 0.8)
+    assert sorted(zip(x.tolist(), y.tolist())) == [(1, 3), (2, 3)]
+    x, y = simhash.confirmed_forest(fps, np.array([True, True, False]), np.array([1, 2, 1]), sketches, near, 0.8)
+    assert list(zip(x.tolist(), y.tolist())) == [(2, 3)]
