@@ -29,7 +29,7 @@ RADIUS = 1
 MEMBERS = 1 << 17
 KEY_BITS = 40
 #: Comparisons of an anchor made at once, and links a member beyond which links are confirmed in the anchor.
-DENSE, FULL_LINKS = 1 << 23, 4
+DENSE, FULL_LINKS = 1 << 22, 4
 #: Members of a thick anchor whose sketches one task holds twice over.
 SIDE = 1 << 12
 #: The smallest shingle hashes that stand for a text where similarities are confirmed.
@@ -199,8 +199,6 @@ def bucket_links(homes: np.ndarray, others: np.ndarray, near: Near) -> tuple[lis
     Links are confirmed later, so a forest of them may fall apart. It only saves comparisons: its
     trees grow from the homes of most links, of which most are likely to hold.
     """
-    if len(homes) * (len(homes) + len(others)) > DENSE:
-        return forest(homes, others, near), homes[:0]
     out, n = [], 0
     for x, y in all_links(homes, others, near):
         out.append((x, y))
@@ -322,7 +320,7 @@ def _squares(large: DataFrame, at_home, distance: int, codes: tuple[Covering, ..
         own = fps[side]
         home = at_home(anchor, own)
         others = np.concatenate([own[~home], fps[~side]])
-        found, linked = _told(own[home], others, Near(distance, codes, anchor >> KEY_BITS), False)
+        found, linked = _told(own[home], others, Near(distance, codes, anchor >> KEY_BITS), full)
         told = [_batch(0, *_edges(found))] if found else []
         return pa.Table.from_batches([*told, _batch(2, np.full(len(linked), anchor), linked.view(np.int64))])
 

@@ -219,3 +219,21 @@ def test_members_apart_are_joined_in_their_anchor():
     assert sorted(zip(x.tolist(), y.tolist())) == [(1, 3), (2, 3)]
     x, y = simhash.confirmed_forest(fps, np.array([True, True, False]), np.array([1, 2, 1]), sketches, near, 0.8)
     assert list(zip(x.tolist(), y.tolist())) == [(2, 3)]
+
+
+def test_family_in_squares_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", 20)
+    rows = family(6, 120, 200, (2, 7))
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == brute_kept(rows)[0]
+
+
+@pytest.mark.parametrize("dense", [1, 100, 1 << 22])
+def test_links_of_an_anchor_do_not_depend_on_its_size(monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = np.random.default_rng(7)
+    fps = np.unique(rng.integers(0, 2**64, 8, dtype=np.uint64)[rng.integers(0, 8, 60)] ^ np.uint64(1) << rng.integers(16, 64, 60, dtype=np.uint64))
+    found, linked = simhash.bucket_links(fps[::2], fps[1::2], simhash.Near(2, simhash.coverings(11, 4), 0))
+    got = {(int(a), int(b)) for x, y in found for a, b in zip(x, y)}
+    want = {(a, b) for a in fps[::2].tolist() for b in fps.tolist() if a < b and (a ^ b).bit_count() <= 2}
+    assert got == want and not len(linked)
