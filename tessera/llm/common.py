@@ -6,32 +6,44 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python. Texts can be long, so batches are short in rows.
-ARROW_ROWS = 512
+#: Bytes of one Arrow batch handed to Python, about. Texts can be long, so batches are cut by size.
+ARROW_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings that the Arrow operators rely on: short batches bound a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """The one session setting that the Arrow operators rely on: small batches bound a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"tessera_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -52,7 +64,16 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tessera_path = path
+    return out
+
+
+def release(*settled: DataFrame) -> None:
+    """Remove the files of settled tables that nothing reads any more."""
+    for df in settled:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.tessera_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -60,16 +81,22 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def publish(uri: str, data: bytes) -> None:
-    """Write a file under a temporary name, then rename: a repeated task leaves one whole file."""
+@contextmanager
+def publishing(uri: str) -> Iterator[pa.NativeFile]:
+    """A file to write, under a temporary name; it is renamed at the end, so a repeated task leaves one whole file."""
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(part) as out:
-        out.write(data)
+        yield out
     fs.move(part, path)
 
 
+def publish(uri: str, data: bytes) -> None:
+    with publishing(uri) as out:
+        out.write(data)
+
+
 def fetch(uri: str) -> bytes:
     fs, path = filesystem(uri)
     with fs.open_input_stream(path) as f:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle
+from tessera.llm.common import release, settle
 
 
 def _step(edges: DataFrame, order) -> DataFrame:
@@ -29,11 +29,16 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         at_a, at_b = step.select(F.col("node").alias("a"), F.col("rep").alias("ra")), step.select(F.col("node").alias("b"), F.col("rep").alias("rb"))
         moved = edges.join(at_a, "a").join(at_b, "b").where("ra <> rb")
-        edges = settle(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        last, edges = edges, settle(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        release(last)
+        if turn:
+            release(step)
         if edges.isEmpty():
+            release(edges)
             return labels
         turn += 1
         order: Column = lambda c, turn=turn: F.xxhash64(c, F.lit(turn))
         step = settle(_step(edges, order), "step")
         onward = step.select(F.col("node").alias("rep"), F.col("rep").alias("next"))
-        labels = settle(labels.join(onward, "rep", "left").select("node", F.coalesce("next", "rep").alias("rep")), "labels")
+        last, labels = labels, settle(labels.join(onward, "rep", "left").select("node", F.coalesce("next", "rep").alias("rep")), "labels")
+        release(last)

@@ -75,8 +75,8 @@ def allocate(leaves: DataFrame, recipe: Recipe) -> DataFrame:
 def mix(docs: DataFrame, domain: Column, recipe: Recipe, keep: Sequence[str]) -> DataFrame:
     """The chosen documents, a row for each epoch they are read in.
 
-    Returns the columns ``keep`` of ``docs`` (doc_id, text, lang, source) and ``mix_domain``,
-    ``mix_epoch`` and ``mix_tokens``. The budget is ``budget_num / budget_den`` of all tokens. A leaf
+    Returns (doc, domain, epoch, tokens); ``doc`` is a struct of the columns ``keep`` of ``docs``
+    (doc_id, text, lang, source, any others), so no name of theirs can clash. The budget is ``budget_num / budget_den`` of all tokens. A leaf
     is read whole while its allocation lasts; of the epoch after that its token-prefix is taken: in
     the order of the MD5 of seed, epoch and doc_id (ties: doc_id, tokens, CRC of the text) all
     documents up to the last that fits. Null domains, languages and sources are leaves of their own;
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, domain: Column, recipe: Recipe, keep: Sequence[str]) ->
     in_piece = F.sum("tokens").over(Window.partitionBy(*LEVELS, "piece").orderBy("key", "id", "tokens", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     places = sums.select(*LEVELS, "piece", before.alias("before"))
     fitting = started.withColumn("upto", in_piece).join(places, [*LEVELS, "piece"]).where("before + upto <= part").select("doc", "domain", F.col("full").alias("epoch"), "tokens")
-    return whole.unionByName(fitting).select("doc.*", F.col("domain").alias("mix_domain"), F.col("epoch").alias("mix_epoch"), F.col("tokens").alias("mix_tokens"))
+    return whole.unionByName(fitting)
 
 
 #: The domains and the recipe of the query and of the pipeline.
@@ -121,7 +121,7 @@ def domain_of(source: Column) -> Column:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mix(docs, domain_of(F.col("source")), RECIPE, ["doc_id", "lang", "source"])
-    return out.select("doc_id", "lang", "source", F.col("mix_domain").alias("domain"), F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("tokens"))
+    return out.select("doc.*", "domain", "epoch", "tokens")
 
 
 def op4_sql() -> str:

@@ -28,12 +28,6 @@ RADIUS = 1
 #: Members of an anchor that one task compares; larger anchors are cut into squares of this side.
 MEMBERS = 1 << 17
 KEY_BITS = 40
-#: Comparisons of an anchor made at once, and links a member beyond which links are confirmed in the anchor.
-DENSE, FULL_LINKS = 1 << 22, 4
-#: Members of a thick anchor whose sketches one task holds twice over.
-SIDE = 1 << 12
-#: The smallest shingle hashes that stand for a text where similarities are confirmed.
-SKETCH = 256
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -144,12 +138,11 @@ class Near:
         return at[self.first(x, ys[at])] if len(at) else at
 
 
-def forest(homes: np.ndarray, others: np.ndarray, near: Near, both: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+def forest(homes: np.ndarray, others: np.ndarray, near: Near) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links from ``homes`` to both arrays, as few as keep connected what is linked here.
 
     Homes are searched in their order. Within one search each member is linked once; a home that was
     reached is not searched for again, other members are, since another component may link to them.
-    With ``both`` a home links to smaller others too, though these tell of it at their own home.
     """
     out, left = [], homes
     while len(left):
@@ -162,55 +155,21 @@ def forest(homes: np.ndarray, others: np.ndarray, near: Near, both: bool = False
                 queue.extend(left[hit])
                 left = np.delete(left, hit)
             hit = near.hits(x, rest)
-            hit = hit[(rest[hit] != x) if both else (rest[hit] > x)]
+            hit = hit[rest[hit] > x]
             if len(hit):
                 out.append((np.full(len(hit), x), rest[hit]))
                 rest = np.delete(rest, hit)
     return out
 
 
-def all_links(homes: np.ndarray, others: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every link that ``homes`` tell of, by blocks of at most ``DENSE`` comparisons (of one home at least)."""
-    members = np.concatenate([homes, others])
-    step = max(1, DENSE // max(1, len(members)))
-    for k in range(0, len(homes), step):
-        i, j = np.nonzero(near(homes[k : k + step, None], members[None, :]))
-        x, y = homes[k : k + step][i], members[j]
-        keep = x < y
-        keep[keep] = near.first(x[keep], y[keep])
-        if keep.any():
-            yield x[keep], y[keep]
-
-
-def degrees(homes: np.ndarray, others: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Of each home its number of links here, either way; and the members that have any."""
-    count, linked = np.zeros(len(homes), np.int64), np.zeros(len(others), bool)
-    for n, x in enumerate(homes):
-        count[n] = len(near.hits(x, homes)) - near.first(x, homes[n : n + 1]).sum()
-        hit = near.hits(x, others)
-        linked[hit[others[hit] != x]] = True
-        count[n] += (others[hit] != x).sum()
-    return count, np.concatenate([homes[count > 0], others[linked]])
-
-
-def bucket_links(homes: np.ndarray, others: np.ndarray, near: Near) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """All links of one anchor; where they are many for its members, a forest and the members to confirm links among.
-
-    Links are confirmed later, so a forest of them may fall apart. It only saves comparisons: its
-    trees grow from the homes of most links, of which most are likely to hold.
-    """
-    out, n = [], 0
-    for x, y in all_links(homes, others, near):
-        out.append((x, y))
-        n += len(x)
-        if n > FULL_LINKS * (len(homes) + len(others)):
-            count, linked = degrees(homes, others, near)
-            return forest(homes[np.argsort(-count, kind="stable")], others, near, both=True), linked
-    return out, homes[:0]
+def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate([p[i] for p in pairs]).view(np.int64) for i in (0, 1))
+    return a, b
 
 
 def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    a, b = (np.concatenate([p[i] for p in pairs]).view(np.int64) for i in (0, 1))
+    none = np.zeros(0, np.uint64)
+    a, b = (np.concatenate([none, *(p[i] for p in pairs)]).view(np.int64) for i in (0, 1))
     return a, b
 
 
@@ -247,11 +206,6 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 3) -> DataFrame:
     its connectivity. Anchors of over ``MEMBERS`` members are set aside, cut into squares and
     compared square by square, so no task holds more.
     """
-    return _links(fps, distance, blocks, False).where("kind = 0").select("a", "b")
-
-
-def _links(fps: DataFrame, distance: int, blocks: int, full: bool) -> DataFrame:
-    """(kind, a, b): links as kind 0; with ``full`` all links, but of thick anchors a forest and, as kind 2, (anchor, fp)."""
     spark = prepare(fps.sparkSession)
     codes = coverings(distance, blocks)
 
@@ -273,9 +227,7 @@ def _links(fps: DataFrame, distance: int, blocks: int, full: bool) -> DataFrame:
                 continue
             home = at_home(key, members)
             if home.any() and len(members) > 1:
-                found, linked = _told(members[home], members[~home], Near(distance, codes, key >> KEY_BITS), full)
-                if len(linked):
-                    yield _batch(2, np.full(len(linked), key), linked.view(np.int64))
+                found = forest(members[home], members[~home], Near(distance, codes, key >> KEY_BITS))
                 out += found
                 n += sum(len(f[0]) for f in found)
                 if n > 1 << 16:
@@ -287,29 +239,25 @@ def _links(fps: DataFrame, distance: int, blocks: int, full: bool) -> DataFrame:
     spread = fps.select("fp").mapInArrow(replicate, "anchor long, fp long").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     first = settle(spread.mapInArrow(compare, "kind byte, a long, b long"), "links")
     large = first.where("kind = 1").select(F.col("a").alias("anchor"), F.col("b").alias("fp"))
-    edges = first.where("kind <> 1")
-    return edges if large.isEmpty() else edges.unionByName(_squares(large, at_home, distance, codes, full))
-
+    edges = first.where("kind = 0").select("a", "b")
+    return edges if large.isEmpty() else edges.unionByName(_squares(large, at_home, distance, codes))
 
-def _told(homes: np.ndarray, others: np.ndarray, near: Near, full: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    return bucket_links(homes, others, near) if full else (forest(homes, others, near), homes[:0])
 
-
-def _sides(members: DataFrame, most: int, *columns: str) -> DataFrame:
-    """(anchor, i, j, fp, home, columns): members cut into sides of about ``most``, every two sides together.
+def _sides(members: DataFrame, most: int) -> DataFrame:
+    """(anchor, i, j, fp, home): members cut into sides of about ``most``, every two sides together.
 
     Rows of side i are at home in (i, j); those of j are not. Of (i, i) rows are there once.
     """
     sides = members.groupBy("anchor").agg((F.floor(F.count("*") / F.lit(most)) + 1).cast("int").alias("sides"))
     own = members.join(sides, "anchor").withColumn("side", F.pmod(F.xxhash64("fp"), F.col("sides")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    as_home = own.select("anchor", F.col("side").alias("i"), every.alias("j"), "fp", F.lit(True).alias("home"), *columns)
-    as_other = own.select("anchor", every.alias("i"), F.col("side").alias("j"), "fp", F.lit(False).alias("home"), *columns)
+    as_home = own.select("anchor", F.col("side").alias("i"), every.alias("j"), "fp", F.lit(True).alias("home"))
+    as_other = own.select("anchor", every.alias("i"), F.col("side").alias("j"), "fp", F.lit(False).alias("home"))
     return as_home.unionByName(as_other.where("i <> j"))
 
 
-def _squares(large: DataFrame, at_home, distance: int, codes: tuple[Covering, ...], full: bool) -> DataFrame:
-    """Links within large anchors, as of :func:`_links`, square by square.
+def _squares(large: DataFrame, at_home, distance: int, codes: tuple[Covering, ...]) -> DataFrame:
+    """Links within large anchors, square by square.
 
     The last rows of an anchor may come in a part that is no longer than MEMBERS but not whole; the
     sides are counted from what was set aside, which is all of it.
@@ -320,93 +268,10 @@ def _squares(large: DataFrame, at_home, distance: int, codes: tuple[Covering, ..
         own = fps[side]
         home = at_home(anchor, own)
         others = np.concatenate([own[~home], fps[~side]])
-        found, linked = _told(own[home], others, Near(distance, codes, anchor >> KEY_BITS), full)
-        told = [_batch(0, *_edges(found))] if found else []
-        return pa.Table.from_batches([*told, _batch(2, np.full(len(linked), anchor), linked.view(np.int64))])
-
-    return _sides(large, MEMBERS).groupBy("anchor", "i", "j").applyInArrow(square, "kind byte, a long, b long")
+        a, b = _edges(forest(own[home], others, Near(distance, codes, anchor >> KEY_BITS)))
+        return pa.table({"a": a, "b": b})
 
-
-def _sketch(hashes: np.ndarray) -> bytes:
-    return np.unique((hashes >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
-
-
-def similarity(x: bytes, y: bytes) -> float:
-    """The Jaccard similarity of two sketches: exact below SKETCH shingles, else estimated from the smallest of both."""
-    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.union1d(a, b)
-    if max(len(a), len(b)) == SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(both, a, assume_unique=True)[np.isin(both, b, assume_unique=True)].sum() / len(both))
-
-
-def confirmed(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The ``edges`` (a, b) whose texts have a similarity of ``least`` or more; ``sketches`` is (fp, sketch)."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [similarity(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("fp").alias(end), F.col("sketch").alias(f"of_{end}")), end)
-    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
-
-
-def similar_links(distinct: DataFrame, distance: int, blocks: int, least: float) -> DataFrame:
-    """(a, b) within ``distance`` bits and of similarity ``least`` or more, enough to connect all that such links connect.
-
-    ``distinct`` is (fp, sketch). Links are told and confirmed. In anchors thick with links a forest
-    of them is; then the members that it left apart are compared there, with their sketches.
-    """
-    told = settle(_links(distinct, distance, blocks, True), "told")
-    near = settle(confirmed(told.where("kind = 0"), distinct, least), "near")
-    thick = told.where("kind = 2").select(F.col("a").alias("anchor"), F.col("b").alias("fp")).distinct()
-    if thick.isEmpty():
-        return near
-    reps = components(near).withColumnRenamed("node", "fp")
-    placed = thick.join(reps, "fp", "left").select("anchor", "fp", F.coalesce("rep", "fp").alias("rep"))
-    apart = placed.groupBy("anchor").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("anchor")
-    members = settle(placed.join(apart, "anchor"), "apart")
-    rows = _sides(members.join(distinct.select("fp", "sketch"), "fp"), SIDE, "rep", "sketch")
-    codes = coverings(distance, blocks)
-
-    def square(key: tuple, rows: pa.Table) -> pa.Table:
-        anchor, side = key[0].as_py(), rows["home"].to_numpy()
-        fps, sketches = rows["fp"].to_numpy().view(np.uint64), rows["sketch"].to_pylist()
-        code = codes[anchor >> KEY_BITS]
-        home = side & (code.homes(fps) == np.uint64(anchor & ((1 << KEY_BITS) - 1)))
-        a, b = confirmed_forest(fps, home, rows["rep"].to_numpy(), sketches, Near(distance, codes, anchor >> KEY_BITS), least)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return near.unionByName(rows.groupBy("anchor", "i", "j").applyInArrow(square, "a long, b long"))
-
-
-def confirmed_forest(fps: np.ndarray, home: np.ndarray, reps: np.ndarray, sketches: list[bytes], near: Near, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of similarity ``least`` between the members, as few as join what they join; equal ``reps`` are joined already."""
-    order = np.argsort(fps)
-    ranked = fps[order]
-    names, of = np.unique(reps, return_inverse=True)
-    root, a, b = list(range(len(names))), [], []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for x, y in all_links(fps[home], fps[~home], near):
-        i, j = order[np.searchsorted(ranked, x)], order[np.searchsorted(ranked, y)]
-        cross = of[i] != of[j]
-        for m, n in zip(i[cross].tolist(), j[cross].tolist()):
-            p, q = find(of[m]), find(of[n])
-            if p != q and similarity(sketches[m], sketches[n]) >= least:
-                root[p] = q
-                a.append(m)
-                b.append(n)
-    return fps[np.array(a, np.int64)], fps[np.array(b, np.int64)]
+    return _sides(large, MEMBERS).groupBy("anchor", "i", "j").applyInArrow(square, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, blocks: int = 3) -> DataFrame:
@@ -432,39 +297,5 @@ def _named(distinct: DataFrame, reps: DataFrame) -> DataFrame:
     return rooted.join(least, "root").select("fp", "first", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 11, blocks: int = 4) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: that of the smallest doc_id.
-
-    Fingerprints of ``words``-word shingles link at ``distance`` or fewer bits where the texts'
-    shingle sets, by sketches of the ``SKETCH`` smallest hashes, also have a Jaccard similarity of
-    ``least`` or more; equal fingerprints are one group. Of a group whose smallest doc_id recurs one
-    row stays; a null doc_id stays only where its group has no other. Columns are those of ``docs``.
-    """
-    prepare(docs.sparkSession)
-    at, own = docs.columns.index("text"), "tessera_fp"
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = [shingle_hashes(t or b"", words) for t in utf8(b.column(1))]
-            fps = np.fromiter(map(fingerprint, hashes), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([_sketch(h) for h in hashes], pa.binary())], names=["doc_id", "fp", "sketch"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(shingle_hashes(t or b"", words)) for t in utf8(b.column(at))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, own])
-
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(mark, "doc_id long, fp long, sketch binary")
-    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch")), "distinct")
-    near = similar_links(distinct, distance, blocks, least)
-    named = settle(_named(distinct.select("fp", "first"), components(near)), "named")
-    # A group's row is that of the fingerprint which holds its smallest doc_id.
-    kept = named.groupBy("component_id").agg(F.min(F.when(F.col("first").eqNullSafe(F.col("component_id")), F.col("fp"))).alias(own)).select(F.col("component_id").alias("tessera_id"), own)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{own}` long"
-    rows = docs.mapInArrow(add, schema)
-    joined = rows.join(kept, (rows[own] == kept[own]) & rows["doc_id"].cast("long").eqNullSafe(kept["tessera_id"])).select(*[rows[c] for c in rows.columns])
-    return joined.dropDuplicates(["doc_id", own]).select(*docs.columns)
-
-
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -73,8 +73,8 @@ def test_against_brute_force(spark, monkeypatch, seed, num, den, epochs, piece):
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 4) for r in rows], "doc_id long, text string, lang string, source string, tokens int")
     got = mixing.mix(docs, F.substring("source", 1, 1), recipe, ["doc_id", "tokens"]).collect()
-    assert all(r.tokens == 4 for r in got)
-    assert Counter((r.doc_id, r.mix_epoch, r.mix_tokens) for r in got) == brute(rows, recipe)
+    assert all(r.doc.tokens == 4 for r in got)
+    assert Counter((r.doc.doc_id, r.epoch, r.tokens) for r in got) == brute(rows, recipe)
 
 
 def test_shortages_go_to_siblings_first(spark):

@@ -113,127 +113,3 @@ def test_empty_null_ids_and_repeats(spark):
     docs = spark.createDataFrame([(None, "same words here now again"), (7, "same words here now again"), (7, "same words here now again")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(docs).collect()] == [7, 7, 7]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
-
-
-def test_keep_one_of_each_group(spark):
-    rng = random.Random(12)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    rows, near, ids = [], [], iter(rng.sample(range(10_000), 10_000))
-    for _ in range(30):
-        base = [word() for _ in range(rng.randrange(60, 240))]
-        group = [(next(ids), " ".join(base))]
-        for _ in range(rng.randrange(4)):
-            copy = list(base)
-            for _ in range(rng.randrange(1, 2 + len(base) // 120)):
-                copy[rng.randrange(len(copy))] = word()
-            group.append((next(ids), " ".join(copy)))
-        group.append((next(ids), " ".join(base)))
-        near.append(group)
-        rows += group
-    half = near[0][0][1].split()
-    other = (20_000, " ".join(half[: len(half) // 2] + [word() for _ in half]))
-    docs = spark.createDataFrame([(*r, "x") for r in [*rows, other, near[1][0], (20_001, "short one"), (None, "no id")]], "doc_id long, text string, fp string")
-    got = simhash.keep_one(docs)
-    assert got.columns == docs.columns
-    left = {r.doc_id for r in got.collect()}
-    want, planted = set(), sum(map(len, near)) - len(near)
-    for group in near:
-        sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in group]
-        fps = [brute_fingerprint(t, 5) for _, t in group]
-        linked = lambda i, j: fps[i] == fps[j] or (fps[i] ^ fps[j]).bit_count() <= 11 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-        todo = set(range(len(group)))
-        while todo:
-            reach, queue = set(), [min(todo)]
-            while queue:
-                i = queue.pop()
-                reach.add(i)
-                queue += [j for j in todo - reach if linked(i, j)]
-            todo -= reach
-            want.add(min(group[i][0] for i in reach))
-    assert left == want | {20_000, 20_001, None}
-    assert planted - (len(want) - len(near)) >= 0.85 * planted
-    assert simhash.keep_one(docs.limit(0)).collect() == []
-
-
-def test_sketches_estimate_similarity():
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 2**64, 4000, dtype=np.uint64)
-    for share in (0.5, 0.8, 0.95):
-        b = np.concatenate([a[: int(4000 * share)], rng.integers(0, 2**64, 4000 - int(4000 * share), dtype=np.uint64)])
-        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        assert simhash.similarity(simhash._sketch(a), simhash._sketch(b)) == pytest.approx(true, abs=0.1)
-    assert simhash.similarity(simhash._sketch(a[:10]), simhash._sketch(a[5:20])) == 5 / 20
-
-
-def family(seed, size, words, edits):
-    """A text and ``size`` edited copies, the text's doc_id the largest."""
-    rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    base = [word() for _ in range(words)]
-    rows = [(1000, " ".join(base))]
-    for d in range(size):
-        copy = list(base)
-        for at in rng.sample(range(words), rng.randrange(*edits)):
-            copy[at] = word()
-        rows.append((d, " ".join(copy)))
-    return rows
-
-
-def brute_kept(rows, least=0.8, distance=11):
-    """The smallest doc_id of each group, and the number of pairs that link by bits alone."""
-    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
-    fps = [brute_fingerprint(t, 5) for _, t in rows]
-    near = [[j for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= distance] for i in range(len(rows))]
-    same = lambda i, j: len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])
-    todo, kept = set(range(len(rows))), set()
-    while todo:
-        reach, queue = set(), [min(todo)]
-        while queue:
-            i = queue.pop()
-            if i not in reach:
-                reach.add(i)
-                queue += [j for j in near[i] if j not in reach and same(i, j)]
-        todo -= reach
-        kept.add(min(rows[i][0] for i in reach))
-    return kept, sum(map(len, near))
-
-
-def test_family_of_edited_copies_against_brute_force(spark):
-    rows = family(3, 300, 200, (2, 7))
-    want, close = brute_kept(rows)
-    assert close > 2 * simhash.FULL_LINKS * len(rows)
-    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id for r in got.collect()} == want
-
-
-def test_members_apart_are_joined_in_their_anchor():
-    """B is like C1 and C2, which are not like each other but near by bits: a forest from C1 loses C2."""
-    rng = np.random.default_rng(4)
-    b = np.unique(rng.integers(0, 2**32, 150, dtype=np.uint64))
-    new = lambda: rng.integers(0, 2**32, 15, dtype=np.uint64)
-    texts = [np.concatenate([b[15:], new()]), np.concatenate([b[:-15], new()]), b]
-    sketches = [simhash._sketch(t << np.uint64(32)) for t in texts]
-    fps = np.array([0b001, 0b010, 0b011], np.uint64)
-    near = simhash.Near(11, simhash.coverings(11, 4), 0)
-    x, y = simhash.confirmed_forest(fps, np.array([True, True, False]), fps.view(np.int64), sketches, near, 0.8)
-    assert sorted(zip(x.tolist(), y.tolist())) == [(1, 3), (2, 3)]
-    x, y = simhash.confirmed_forest(fps, np.array([True, True, False]), np.array([1, 2, 1]), sketches, near, 0.8)
-    assert list(zip(x.tolist(), y.tolist())) == [(2, 3)]
-
-
-def test_family_in_squares_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "MEMBERS", 20)
-    rows = family(6, 120, 200, (2, 7))
-    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id for r in got.collect()} == brute_kept(rows)[0]
-
-
-@pytest.mark.parametrize("dense", [1, 100, 1 << 22])
-def test_links_of_an_anchor_do_not_depend_on_its_size(monkeypatch, dense):
-    monkeypatch.setattr(simhash, "DENSE", dense)
-    rng = np.random.default_rng(7)
-    fps = np.unique(rng.integers(0, 2**64, 8, dtype=np.uint64)[rng.integers(0, 8, 60)] ^ np.uint64(1) << rng.integers(16, 64, 60, dtype=np.uint64))
-    found, linked = simhash.bucket_links(fps[::2], fps[1::2], simhash.Near(2, simhash.coverings(11, 4), 0))
-    got = {(int(a), int(b)) for x, y in found for a, b in zip(x, y)}
-    want = {(a, b) for a in fps[::2].tolist() for b in fps.tolist() if a < b and (a ^ b).bit_count() <= 2}
-    assert got == want and not len(linked)
