@@ -15,6 +15,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filesystem, prepare, publish, shared_path, table, utf8
+from tessera.llm.common import filesystem, prepare, publish, publishing, shared_path, table, utf8
 from tessera.llm.eliasfano import EliasFano
 
 MAGIC = b"TIDS0001"
@@ -30,8 +31,10 @@ MAGIC = b"TIDS0001"
 CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
 #: ASCII marks that a pre-tokenizer of letters, digits and runs of other marks cuts from the letters before them.
 TAIL = b".,!?;:&*#$%()-"
-#: Bytes of ids that one read of a shard asks for.
-READ_BYTES = 16 << 20
+#: Bytes of text of a shard, about; a row counts as some bytes more, so that empty texts are bounded too.
+SHARD_BYTES, ROW_BYTES = 64 << 20, 64
+#: Documents whose boundaries a reader selects at once, and bytes of ids that one read asks for.
+READ_DOCUMENTS, READ_BYTES = 4096, 16 << 20
 
 
 class ChunkEncoder:
@@ -89,37 +92,44 @@ def encoder(path: str) -> ChunkEncoder:
 def write_corpus(docs: DataFrame, tokenizer: str, end_id: int, shards: int | None = None) -> str:
     """Write ``docs`` (doc_id, text) as shards below the shared folder and return the folder's URI.
 
-    Rows are dealt by ranges of ``doc_id``; within a shard they lie by doc_id, then text, so equal
-    ids are written in one order. Null texts are empty: the end id alone. No rows: no shards. Other
-    columns are ignored. A shard appears by renaming, so a task that runs again does no harm.
+    Rows are dealt by ranges of doc_id and a hash of the text into shards of about ``SHARD_BYTES`` (or
+    ``shards`` of them), in which they lie in that order; equal rows are written as often as they
+    come. Null texts are empty: the end id alone. No rows: no shards. Other columns are ignored. Ids
+    go to the file batch by batch: a task holds a batch, and of each document of its shard a length
+    and an id. A shard appears by renaming, so a task that runs again does no harm.
     """
     spark = prepare(docs.sparkSession)
     folder = shared_path(spark, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if shards is None:
+        size = rows.select(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0
+        shards = size // SHARD_BYTES + 1
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        end = np.array([end_id], coder.dtype).tobytes()
+        end, size = np.array([end_id], coder.dtype).tobytes(), coder.dtype.itemsize
         shard = TaskContext.get().partitionId()
-        ids, lengths, keys = [], [], []
-        for b in batches:
-            for packed in coder.packed(list(utf8(b.column(1)))):
-                ids.append(packed + end)
-                lengths.append(len(ids[-1]) // coder.dtype.itemsize)
-            keys += b.column(0).to_pylist()
-        if not keys:
+        keys, lengths = [], []
+        if not (some := next(batches, None)):
             return
-        nulls = sum(k is None for k in keys)
-        ends = EliasFano.encode(np.cumsum(lengths, dtype=np.int64)).to_bytes()
-        names = EliasFano.encode(np.array(keys[nulls:], np.int64)).to_bytes()
-        body = b"".join(ids)
-        del ids
-        foot = json.dumps({"dtype": coder.dtype.str, "docs": len(keys), "null_ids": nulls, "tokens": sum(lengths), "ids": len(body), "ends": len(ends), "names": len(names)}).encode()
-        publish(f"{folder}/shard-{shard:06d}.ids", b"".join([MAGIC, body, ends, names, foot, struct.pack("<Q", len(foot)), MAGIC]))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([len(keys)], pa.int64()), "tokens": pa.array([sum(lengths)], pa.int64())})
-
-    told = rows.sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard int, docs long, tokens long").collect()
+        with publishing(f"{folder}/shard-{shard:06d}.ids") as out:
+            out.write(MAGIC)
+            for b in chain([some], batches):
+                packed = coder.packed(list(utf8(b.column(1))))
+                out.write(b"".join(x for ids in packed for x in (ids, end)))
+                lengths.append(np.array([len(p) // size + 1 for p in packed], np.int64))
+                keys.append(b.column(0))
+            ids, counts = pa.chunked_array(keys, pa.int64()), np.concatenate([np.zeros(0, np.int64), *lengths])
+            tokens = int(counts.sum())
+            ends = EliasFano.encode(np.cumsum(counts)).to_bytes()
+            names = EliasFano.encode(ids.drop_null().to_numpy()).to_bytes()
+            foot = json.dumps({"dtype": coder.dtype.str, "docs": len(ids), "null_ids": ids.null_count, "tokens": tokens, "ids": tokens * size, "ends": len(ends), "names": len(names)}).encode()
+            for part in (ends, names, foot, struct.pack("<Q", len(foot)), MAGIC):
+                out.write(part)
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
+
+    told = rows.mapInArrow(write, "shard int, docs long, tokens long").where("docs > 0").collect()
     start, manifest = 0, []
     for r in sorted(told, key=lambda r: r.shard):
         manifest.append({"shard": r.shard, "start": start, "docs": r.docs, "tokens": r.tokens})
@@ -129,7 +139,7 @@ def write_corpus(docs: DataFrame, tokenizer: str, end_id: int, shards: int | Non
 
 
 class Shard:
-    """A shard opened for reading; ids are read in parts, boundaries by select or all at once."""
+    """A shard opened for reading; ids are read in parts, boundaries by select."""
 
     def __init__(self, uri: str):
         fs, path = filesystem(uri)
@@ -155,20 +165,22 @@ class Shard:
         """The ids of document ``i`` of the shard, by two selects."""
         return self.ids(self.ends.select(i - 1) if i else 0, self.ends.select(i))
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(position, offset within the shard, ids) of each document, reading some MB at a time."""
-        ends = self.ends.values()
-        starts = np.concatenate([[0], ends[:-1]])
-        i, most = 0, READ_BYTES // self.dtype.itemsize
-        while i < len(ends):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
-            block = self.ids(int(starts[i]), int(ends[j - 1]))
-            for k in range(i, j):
-                yield k, int(starts[k]), block[starts[k] - starts[i] : ends[k] - starts[i]]
-            i = j
-
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.foot["null_ids"] + self.names.values().tolist()
+    def documents(self) -> Iterator[tuple[list[int | None], np.ndarray, list[np.ndarray]]]:
+        """(doc_ids, starts, ids) of some documents at a time: boundaries by select, ids in reads of some MB."""
+        most, nulls = READ_BYTES // self.dtype.itemsize, self.foot["null_ids"]
+        start = 0
+        for i in range(0, self.foot["docs"], READ_DOCUMENTS):
+            j = min(i + READ_DOCUMENTS, self.foot["docs"])
+            ends = self.ends.span(i, j)
+            starts = np.concatenate([[start], ends[:-1]])
+            start = int(ends[-1])
+            names = [None] * (min(j, nulls) - min(i, nulls)) + (self.names.span(max(i, nulls) - nulls, j - nulls).tolist() if j > nulls else [])
+            a = 0
+            while a < j - i:
+                b = max(a + 1, int(np.searchsorted(ends, starts[a] + most, "right")))
+                block, base = self.ids(int(starts[a]), int(ends[b - 1])), starts[a]
+                yield names[a:b], starts[a:b], [block[x - base : y - base] for x, y in zip(starts[a:b], ends[a:b])]
+                a = b
 
 
 def read_manifest(folder: str) -> dict:
@@ -189,9 +201,9 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             for number, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 shard = Shard(f"{folder}/shard-{number:06d}.ids")
-                rows = [(base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for _, at, ids in shard.documents()]
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(), pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for names, starts, ids in shard.documents():
+                    crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts + base), pa.array([len(x) for x in ids], pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return named.repartition(len(shards)).mapInArrow(read, out)
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -21,6 +22,7 @@ def test_elias_fano_round_trip(values):
     e = EliasFano.from_bytes(EliasFano.encode(np.array(values, np.int64)).to_bytes())
     assert e.values().tolist() == values
     assert [e.select(i) for i in range(len(values))] == values
+    assert all(e.span(i, j).tolist() == values[i:j] for i in range(0, len(values), 7) for j in range(i + 1, len(values) + 1, 11))
 
 
 def test_elias_fano_space_and_gaps():
@@ -40,15 +42,19 @@ def test_chunks_give_the_ids_of_whole_texts(text):
 
 def brute(rows):
     out, start = [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    place = lambda text: (xxhash.xxh64_intdigest((text or "").encode(), 42) + 2**63) % 2**64
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place(r[1]))):
         ids = DIRECT.encode(text or "", add_special_tokens=False).ids + [2]
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
 
 
-@pytest.mark.parametrize("shards", [1, 3])
-def test_output_is_read_back(spark, shards):
+@pytest.mark.parametrize("shards,size", [(1, 1 << 26), (3, 1 << 26), (None, 2000)])
+def test_output_is_read_back(spark, monkeypatch, shards, size):
+    monkeypatch.setattr(tokens, "SHARD_BYTES", size)
+    monkeypatch.setattr(tokens, "READ_DOCUMENTS", 5)
+    monkeypatch.setattr(tokens, "READ_BYTES", 100)
     rng = random.Random(3)
     rows = [(i * 7 - 20, " ".join(rng.choice(["the", "Été", "don't", "42", "<|endoftext|>", "x" * 90]) for _ in range(rng.randrange(0, 50)))) for i in range(40)]
     rows += [(3, None), (None, "null id"), (15, ""), (15, ""), (15, "again"), (9999, "long " * 30000)]
