@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, mixing, simhash, tokens
+from tessera.llm import decontam, langid, mixing, neardup, tokens
 from tessera.llm.common import settle, table
 
 #: A document whose pooled language probability is below this is rejected, as is one of unknown language.
@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return simhash.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by target weights; one that is read in two epochs is there twice."""
-    return mixing.mix(docs, mixing.domain_of(F.col("source")), mixing.RECIPE, docs.columns).select(*docs.columns)
+    return mixing.mix(docs, mixing.domain_of(F.col("source")), mixing.RECIPE, docs.columns).select("doc.*")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
