@@ -1,17 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare n-gram seeds joined to test items, then Smith-Waterman alignment.
+
+1. Each item is cut into word n-grams. A Bloom filter of fixed size tells which n-grams of a document
+   may be an item's, and these are counted, in how many documents each, before anything is moved.
+2. An item's rare n-grams are its seeds. Documents send the seeds they hold, again behind a filter of
+   fixed size, and the seeds join the items'.
+3. Each document and item that share a seed are aligned around it.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, table
+from tessera.llm.common import fresh, prepare, release, settle, table
 
 #: Words of a seed, and the least share of an item's words that an alignment must be worth.
 SEED_WORDS, THRESHOLD = 3, 0.6
@@ -20,8 +27,10 @@ SEED_WORDS, THRESHOLD = 3, 0.6
 RARE_SHARE, RARE_DOCUMENTS, OF_MEDIAN = 0.001, 50, 2
 #: Scores of a word that matches, of one that does not, and of one left out on either side.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bytes of benchmark text that are searched for at a time; more is searched for in blocks.
-BLOCK_BYTES = 8 << 20
+#: Bits of a filter, whatever the benchmark, bits of one page of it, and bits set for an n-gram.
+FILTER_BITS, PAGE_BITS, PROBES = 1 << 25, 1 << 15, 4
+#: Words whose hashes a worker remembers, n-grams it counts before it passes the counts on.
+CACHE, COUNTED = 500_000, 1_000_000
 
 _MARKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -31,56 +40,30 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_MARKS).split()
 
 
-@dataclass
-class Items:
-    """A block of the benchmark: each item's word ids, and the n-grams of all as sorted codes."""
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
-    ids: list
-    tokens: list[np.ndarray]
-    vocabulary: dict[bytes, int]
-    codes: np.ndarray
-    #: (item, place) of each n-gram, by code.
-    places: list[list[tuple[int, int]]]
 
-    @classmethod
-    def build(cls, rows: list[tuple], n: int = SEED_WORDS) -> Items:
-        vocabulary: dict[bytes, int] = {}
-        found = [(i, [vocabulary.setdefault(w, len(vocabulary)) for w in words(t)]) for i, t in rows]
-        found = [(i, np.array(t, np.int64)) for i, t in found if len(t) >= n]
-        at = defaultdict(list)
-        for k, (_, t) in enumerate(found):
-            for place, code in enumerate(encode(t, len(vocabulary), n)[1].tolist()):
-                at[code].append((k, place))
-        codes = np.array(sorted(at), np.int64)
-        return cls([i for i, _ in found], [t for _, t in found], vocabulary, codes, [at[c] for c in codes.tolist()])
-
-    def read(self, text: str | None) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words(text)], np.int64)
-
-    def hits(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the text, number of the n-gram) of each n-gram of the benchmark in a text."""
-        at, codes = encode(t, len(self.vocabulary), SEED_WORDS)
-        if not len(self.codes) or not len(codes):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        same = self.codes[k] == codes
-        return at[same], k[same]
-
-
-def encode(t: np.ndarray, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, code) of the n-grams of known words."""
-    if len(t) < n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known = t >= 0
-    full = known[: len(t) - n + 1].copy()
-    for k in range(1, n):
-        full &= known[k : len(t) - n + 1 + k]
-    at = np.flatnonzero(full)
-    code = np.zeros(len(at), np.int64)
+_hashes = _Hashes()
+
+
+def read(text: str | None) -> np.ndarray:
+    """The words of a text as 64-bit hashes."""
+    if len(_hashes) > CACHE:
+        _hashes.clear()
+    own = words(text)
+    return np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))
+
+
+def codes(t: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
+    """The code of the n-gram at each place of a text that has one."""
+    out = np.zeros(max(0, len(t) - n + 1), np.uint64)
     for k in range(n):
-        code = code * max(base, 1) + t[at + k]
-    return at, code
+        out = (out ^ out >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + t[k : k + len(out)]
+    out = (out ^ out >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ out >> np.uint64(32)
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -97,90 +80,120 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def pick_seeds(items: Items, frequency: np.ndarray, documents: int) -> np.ndarray:
-    """Marks the n-grams that seed a search: the rare ones, and of each item those near its median or below.
+def align_around(a: np.ndarray, t: np.ndarray, starts: list[int], threshold: float) -> tuple[float, int] | None:
+    """(score, end) of item ``a`` in text ``t`` around seeds that put its start at ``starts``; None below ``threshold``.
 
-    Only n-grams that occur in the corpus count.
-    """
-    own = defaultdict(list)
-    for code, places in enumerate(items.places):
-        for item, _ in places:
-            own[item].append(code)
-    seed = np.zeros(len(items.codes), bool)
-    for codes in own.values():
-        counts = frequency[codes]
-        if counts.any():
-            most = max(OF_MEDIAN * np.median(counts[counts > 0]), RARE_SHARE * documents, RARE_DOCUMENTS)
-            seed[[c for c in codes if frequency[c] <= most]] = True
-    return seed
-
-
-def search(items: Items, seed: np.ndarray, t: np.ndarray, threshold: float) -> list[tuple[int, float, int]]:
-    """(item, score, end) of the items that align with a text; the score is the share of a full match.
-
-    An item is aligned with the text around its seeds, as far as an alignment through them can reach.
+    A gap costs half a match, so an alignment strays from its seed by no more than twice the item.
     Before, words are counted: a stretch that holds too few of the item's words cannot reach the
     threshold, so nothing is lost.
     """
-    at, code = items.hits(t)
-    keep = seed[code] if len(code) else np.zeros(0, bool)
-    near: dict[int, list[int]] = defaultdict(list)
-    for place, c in zip(at[keep].tolist(), code[keep].tolist()):
-        for item, offset in items.places[c]:
-            near[item].append(place - offset)
-    out = []
-    for item, starts in near.items():
-        a = items.tokens[item]
-        # A gap costs half a match, so an alignment strays from its seed by no more than twice the item.
-        reach = 2 * len(a)
-        starts = sorted(set(starts))
-        best = (0, 0)
-        i = 0
-        while i < len(starts):
-            low, high = starts[i] - reach, starts[i] + len(a) + reach
-            while i < len(starts) and starts[i] - reach <= high:
-                high = starts[i] + len(a) + reach
-                i += 1
-            low = max(low, 0)
-            b = t[low:high]
-            if np.isin(a, b).sum() >= threshold * len(a):
-                score, end = align(a, b)
-                best = max(best, (score, low + end))
-        if best[0] >= threshold * MATCH * len(a):
-            out.append((item, best[0] / (MATCH * len(a)), best[1]))
-    return out
+    reach = 2 * len(a)
+    starts = sorted(set(starts))
+    best, i = (0, 0), 0
+    while i < len(starts):
+        low, high = starts[i] - reach, starts[i] + len(a) + reach
+        while i < len(starts) and starts[i] - reach <= high:
+            high = starts[i] + len(a) + reach
+            i += 1
+        low = max(low, 0)
+        b = t[low:high]
+        if np.isin(a, b).sum() >= threshold * len(a):
+            score, end = align(a, b)
+            best = max(best, (score, low + end))
+    return (best[0] / (MATCH * len(a)), best[1]) if best[0] >= threshold * MATCH * len(a) else None
+
+
+class Filter:
+    """A Bloom filter of 64-bit codes; its size does not grow with what it holds."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(code: np.ndarray) -> np.ndarray:
+        """(PROBES, n): the bits of each code."""
+        step = code >> np.uint64(32) | np.uint64(1)
+        return (code + np.arange(PROBES, dtype=np.uint64)[:, None] * step) % np.uint64(FILTER_BITS)
 
+    @classmethod
+    def build(cls, held: DataFrame) -> Filter:
+        """Of the column ``code``; the driver gets one page for each ``PAGE_BITS`` bits, no more."""
 
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark as blocks of bounded size, each collected by itself."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = size // BLOCK_BYTES + 1
-    for k in range(n):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        items = Items.build([tuple(r) for r in own.orderBy("item_id", "text").collect()])
-        if items.ids:
-            yield items
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(cls.places(b.column(0).to_numpy().view(np.uint64))).astype(np.int64))], names=["bit"])
+
+        def page(key: tuple, t: pa.Table) -> pa.Table:
+            bits = np.zeros(PAGE_BITS, np.uint8)
+            bits[t["bit"].to_numpy() % PAGE_BITS] = 1
+            return pa.table({"page": [key[0].as_py()], "data": [np.packbits(bits, bitorder="little").tobytes()]})
+
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        pages = held.select("code").mapInArrow(spread, "bit long").distinct().withColumn("page", F.expr(f"bit div {PAGE_BITS}"))
+        for r in pages.groupBy("page").applyInArrow(page, "page long, data binary").collect():
+            bits[r.page * PAGE_BITS // 8 : (r.page + 1) * PAGE_BITS // 8] = np.frombuffer(bytes(r.data), np.uint8)
+        return cls(bits)
+
+    def may_hold(self, code: np.ndarray) -> np.ndarray:
+        """Marks the codes that may be held; all that are held are marked."""
+        at = self.places(code)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=0)
+
+
+def _numbers() -> Iterator[int]:
+    """Numbers for the rows of this task, apart from those of other tasks."""
+    n = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+    while True:
+        yield n
+        n += 1
+
+
+def cut_items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, tokens, codes) of the items of at least SEED_WORDS words; ``item`` numbers the rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _numbers()
+        for b in batches:
+            cut = [(i, read(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            cut = [(next(numbers), i, t.view(np.int64), codes(t).view(np.int64)) for i, t in cut if len(t) >= SEED_WORDS]
+            columns = list(zip(*cut)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item", "item_id", "tokens", "codes"])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item long, item_id long, tokens array<long>, codes array<long>")
+
+
+def frequencies(docs: DataFrame, held: Filter) -> DataFrame:
+    """(code, docs): in how many rows of ``docs`` (text) an n-gram is, of those that ``held`` may hold. Summed in the task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
 
-def seeds(docs: DataFrame, items: Items) -> np.ndarray:
-    """Counts, over all documents, how many hold each n-gram of ``items``; then picks the rare ones."""
+        def sums() -> pa.RecordBatch:
+            code, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(count)], names=["code", "docs"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.codes) + 1, np.int64)
         for b in batches:
-            total[-1] += b.num_rows
             for text in b.column(0).to_pylist():
-                total[np.unique(items.hits(items.read(text))[1])] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"code": pa.array(at, pa.int64()), "docs": pa.array(total[at])})
+                found = codes(read(text))
+                parts.append(np.unique(found[held.may_hold(found)]))
+                n += len(parts[-1])
+            if n > COUNTED:
+                yield sums()
+                parts, n = [], 0
+        yield sums()
 
-    # At most one row for each n-gram of the block, however many documents there are.
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "code long, docs long").groupBy("code").agg(F.sum("docs").alias("docs")).collect()
-    frequency = np.zeros(len(items.codes) + 1, np.int64)
-    for r in rows:
-        frequency[r.code] = r.docs
-    return pick_seeds(items, frequency[:-1], int(frequency[-1]))
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "code long, docs long").groupBy("code").agg(F.sum("docs").alias("docs"))
+
+
+def pick_seeds(grams: DataFrame, counts: DataFrame, documents: int) -> DataFrame:
+    """(item, place, code) of ``grams`` that seed a search: the rare ones, and of each item those near its median or below.
+
+    Only n-grams that occur in the corpus count.
+    """
+    found = grams.join(counts, "code")
+    most = F.greatest(OF_MEDIAN * F.median("docs"), F.lit(RARE_SHARE * documents), F.lit(float(RARE_DOCUMENTS)))
+    return found.join(found.groupBy("item").agg(most.alias("most")), "item").where("docs <= most").select("item", "place", "code")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -188,39 +201,66 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     The score is that of the best local alignment of words over that of a full match; ``end_word`` is
     where it ends. Seeds are n-grams of three words that few documents of ``docs`` hold, or, of an
-    item that was copied often, those that are not far more frequent than most of it. Null and empty texts match nothing; nor do items of fewer
-    than three words. Repeated rows and items give a row each. Other columns are ignored.
+    item that was copied often, those that are not far more frequent than most of it. Null and empty
+    texts match nothing; nor do items of fewer than three words, which have no n-gram. Repeated rows
+    and items give a row each. Other columns are ignored. Two passes over the documents, whatever the
+    size of the benchmark; texts move only of documents that hold a seed.
     """
-    spark = prepare(docs.sparkSession)
-    schema = "doc_id long, item_id long, score double, end_word long"
-    out = spark.createDataFrame([], schema)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for items in blocks(benchmark):
-        seed = seeds(rows, items)
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, seed: np.ndarray = seed) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = [(d, items.ids[i], s, e) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, s, e in search(items, seed, items.read(t), threshold)]
-                columns = list(zip(*found)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "score", "end_word"])
+    return _aligned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, threshold).select("doc_id", "item_id", "score", "end_word")
+
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+def _aligned(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """As of :func:`contaminated`, with ``code``, the XXH64 of the document's text."""
+    prepare(docs.sparkSession)
+    items = settle(cut_items(benchmark), "items")
+    grams = items.select("item", F.posexplode("codes").alias("place", "code"))
+    counts = frequencies(docs, Filter.build(grams))
+    seeds = settle(pick_seeds(grams, counts, docs.count()), "seeds")
+    rare = Filter.build(seeds)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _numbers()
+        for b in batches:
+            out = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = codes(read(text))
+                at = np.flatnonzero(rare.may_hold(found))
+                if len(at):
+                    out.append((next(numbers), doc_id, text, at, found[at].view(np.int64)))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "doc_id", "text", "at", "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc_id, code, text, item_id, tokens, starts in zip(*(c.to_pylist() for c in b.columns)):
+                found = align_around(np.array(tokens, np.int64).view(np.uint64), read(text), starts, threshold)
+                if found:
+                    out.append((doc_id, code, item_id, *found))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "code", "item_id", "score", "end_word"])
+
+    holding = settle(docs.select("doc_id", "text").mapInArrow(hold, "row long, doc_id long, text string, at array<long>, codes array<long>"), "holding")
+    hits = holding.select("row", F.explode(F.arrays_zip("at", "codes")).alias("z")).select("row", F.col("z.at").alias("at"), F.col("z.codes").alias("code"))
+    met = hits.join(seeds, "code").groupBy("row", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
+    pairs = met.join(holding.select("row", "doc_id", "text"), "row").join(items.select("item", "item_id", "tokens"), "item")
+    pairs = pairs.select("doc_id", F.xxhash64("text").alias("code"), "text", "item_id", "tokens", "starts")
+    out = settle(pairs.mapInArrow(run, "doc_id long, code long, item_id long, score double, end_word long"), "aligned")
+    release(items, seeds, holding)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that align with an item, as :func:`contaminated` finds them. No shuffle of texts."""
-    prepare(docs.sparkSession)
-    at = docs.columns.index("text")
-    for items in blocks(benchmark):
-        seed = seeds(docs.select("text"), items)
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, seed: np.ndarray = seed) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not search(items, seed, items.read(t), threshold) for t in b.column(at).to_pylist()], pa.bool_()))
+    """``docs`` without the rows that align with an item, as :func:`contaminated` finds them.
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    Columns are those of ``docs``, whatever their names; null doc_ids and texts stay as they are.
+    """
+    key, code = fresh(docs, "key"), fresh(docs, "code")
+    own = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(code, F.xxhash64(F.col("text").cast("string")))
+    found = _aligned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, threshold).select("doc_id", "code").distinct()
+    return own.join(found, own[key].eqNullSafe(found["doc_id"]) & (own[code] == found["code"]), "left_anti").select(*docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

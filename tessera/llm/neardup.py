@@ -32,7 +32,7 @@ DENSE = 1 << 21
 #: Links a member beyond which an anchor is thick; of a thick anchor each member's closest few are told first.
 THICK, CLOSEST = 2, 2
 #: Members that one task compares; those of larger anchors, and with their sets those of thick ones, go in squares of sides of so many.
-MEMBERS, SIDE = 1 << 20, 1 << 12
+MEMBERS, SIDE = 1 << 20, 1 << 10
 GOLDEN, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -234,14 +234,15 @@ def _args(told: tuple[list, np.ndarray], anchor: int) -> tuple[list, int, np.nda
 def _sides(members: DataFrame, most: int, *columns: str) -> DataFrame:
     """(anchor, i, j, id, home, columns): members cut into sides of about ``most``, every two sides together.
 
-    Rows of side i may tell in (i, j), those of j may not. Of (i, i) rows are there once.
+    Rows of side i may tell in (i, j), those of j may not. Of (i, i) rows are there once. Squares are
+    dealt out one by one, not anchor by anchor.
     """
     sides = members.groupBy("anchor").agg((F.floor(F.count("*") / F.lit(most)) + 1).cast("int").alias("sides"))
     own = members.join(sides, "anchor").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
     as_home = own.select("anchor", F.col("side").alias("i"), every.alias("j"), "id", F.lit(True).alias("home"), *columns)
     as_other = own.select("anchor", every.alias("i"), F.col("side").alias("j"), "id", F.lit(False).alias("home"), *columns)
-    return as_home.unionByName(as_other.where("i <> j"))
+    return as_home.unionByName(as_other.where("i <> j")).repartition(partitions(members.sparkSession), "anchor", "i", "j")
 
 
 def _square(anchor: int, rows: pa.Table) -> tuple[Members, np.ndarray, np.ndarray]:

@@ -253,7 +253,7 @@ def _sides(members: DataFrame, most: int) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
     as_home = own.select("anchor", F.col("side").alias("i"), every.alias("j"), "fp", F.lit(True).alias("home"))
     as_other = own.select("anchor", every.alias("i"), F.col("side").alias("j"), "fp", F.lit(False).alias("home"))
-    return as_home.unionByName(as_other.where("i <> j"))
+    return as_home.unionByName(as_other.where("i <> j")).repartition(partitions(members.sparkSession), "anchor", "i", "j")
 
 
 def _squares(large: DataFrame, at_home, distance: int, codes: tuple[Covering, ...]) -> DataFrame:

@@ -32,7 +32,7 @@ CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
 #: ASCII marks that a pre-tokenizer of letters, digits and runs of other marks cuts from the letters before them.
 TAIL = b".,!?;:&*#$%()-"
 #: Bytes of text of a shard, about; a row counts as some bytes more, so that empty texts are bounded too.
-SHARD_BYTES, ROW_BYTES = 64 << 20, 64
+SHARD_BYTES, ROW_BYTES = 32 << 20, 64
 #: Documents whose boundaries a reader selects at once, and bytes of ids that one read asks for.
 READ_DOCUMENTS, READ_BYTES = 4096, 16 << 20
 

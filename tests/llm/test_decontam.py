@@ -66,14 +66,23 @@ def test_copies_and_edits_are_found_and_others_left(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(x for x, _ in docs if x not in hit)
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
     items, docs, _ = corpus()
     d, b = spark.createDataFrame(docs[:40], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, decontam.contaminated(d, b).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 500)
+    full = decontam.Filter(np.full(decontam.FILTER_BITS // 8, 255, np.uint8))
+    monkeypatch.setattr(decontam.Filter, "build", classmethod(lambda cls, held: full))
+    monkeypatch.setattr(decontam, "COUNTED", 50)
     assert sorted(map(tuple, decontam.contaminated(d, b).collect())) == whole
 
 
+def test_the_filter_holds_what_it_is_given(spark):
+    rng = np.random.default_rng(2)
+    held, others = rng.integers(-(2**63), 2**63, 3000), rng.integers(-(2**63), 2**63, 3000)
+    f = decontam.Filter.build(spark.createDataFrame([(int(x),) for x in held], "code long"))
+    assert f.may_hold(held.view(np.uint64)).all() and f.may_hold(others.view(np.uint64)).mean() < 0.01
+
+
 def test_an_item_copied_everywhere_is_found(spark):
     items, _, _ = corpus()
     d = spark.createDataFrame([(i, items[0][1]) for i in range(200)], "doc_id long, text string")
