@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"moof", b"traf", b"mvex"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
 UNIT = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -20,19 +20,53 @@ class BrokenMedia(ValueError):
     pass
 
 
+#: Flags of a sample that is no sync sample; of a track fragment header; of a track run.
+NON_SYNC = 0x10000
+BASE, DESCRIPTION, FRAGMENT_DURATION, FRAGMENT_SIZE, FRAGMENT_FLAGS, BASE_IS_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+OFFSET, FIRST_FLAGS, DURATION, SIZE, FLAGS, COMPOSITION = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+
+
+@dataclass
+class Run:
+    """Samples of a track fragment: (offset, size), durations, and which are sync samples."""
+
+    ranges: np.ndarray
+    durations: np.ndarray
+    sync: np.ndarray
+
+
 @dataclass
 class Track:
+    """A track: what its boxes say, and the runs of its fragments. Edit lists are not applied: times are those of the media."""
+
     handler: str = ""
     codec: str = ""
     timescale: int = 0
     duration: int = 0
     tables: dict[bytes, bytes] = field(default_factory=dict)
+    number: int = 0
+    #: Of fragments: duration, size and flags of samples where nothing else is said.
+    defaults: tuple[int, int, int] = (0, 0, 0)
+    runs: list[Run] = field(default_factory=list)
 
     @property
     def seconds(self) -> float:
         return self.duration / self.timescale if self.timescale else 0.0
 
+    def samples(self) -> int:
+        return len(self.ranges())
+
     def sizes(self) -> np.ndarray:
+        """Sizes of the samples that the sample table lists, from stsz or stz2."""
+        if b"stsz" not in self.tables and b"stz2" in self.tables:
+            raw = self._full(b"stz2")
+            width, n = raw[3], struct.unpack_from(">I", raw, 4)[0]
+            if width == 4:
+                both = _ints(raw, 8, (n + 1) // 2, "u1")
+                return np.stack([both >> 4, both & 15], axis=1).reshape(-1)[:n]
+            if width not in (8, 16):
+                raise BrokenMedia(f"stz2 with fields of {width} bits")
+            return _ints(raw, 8, n, "u1" if width == 8 else ">u2")
         fixed, n = struct.unpack_from(">II", self._full(b"stsz"))
         if fixed:
             return np.full(n, fixed, np.int64)
@@ -40,7 +74,7 @@ class Track:
 
     def durations(self) -> np.ndarray:
         t = _table(self._full(b"stts"), 2)
-        return np.repeat(t[:, 1], t[:, 0])
+        return np.concatenate([np.repeat(t[:, 1], t[:, 0]), *(r.durations for r in self.runs)])
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray]:
         """(file offset, samples) of each chunk, from stco or co64 and the runs of stsc."""
@@ -57,7 +91,10 @@ class Track:
         return offsets, per
 
     def ranges(self) -> np.ndarray:
-        """(offset, size) of each sample."""
+        """(offset, size) of each sample, of the sample table and then of fragments."""
+        return np.concatenate([self._listed(), *(r.ranges for r in self.runs)])
+
+    def _listed(self) -> np.ndarray:
         sizes, (offsets, per) = self.sizes(), self.chunks()
         if per.sum() != len(sizes):
             raise BrokenMedia("stsc and stsz disagree")
@@ -67,15 +104,15 @@ class Track:
         return np.stack([start, sizes], axis=1)
 
     def keyframes(self) -> np.ndarray:
-        """(offset, size) of each sync sample; without stss every sample is one."""
-        ranges = self.ranges()
-        if b"stss" not in self.tables:
-            return ranges
-        raw = self._full(b"stss")
-        at = _ints(raw, 4, struct.unpack_from(">I", raw)[0], ">u4") - 1
-        if len(at) and (at.min() < 0 or at.max() >= len(ranges)):
-            raise BrokenMedia("stss names a sample that is not there")
-        return ranges[at]
+        """(offset, size) of each sync sample; without stss every sample of the sample table is one."""
+        listed = self._listed()
+        if b"stss" in self.tables:
+            raw = self._full(b"stss")
+            at = _ints(raw, 4, struct.unpack_from(">I", raw)[0], ">u4") - 1
+            if len(at) and (at.min() < 0 or at.max() >= len(listed)):
+                raise BrokenMedia("stss names a sample that is not there")
+            listed = listed[at]
+        return np.concatenate([listed, *(r.ranges[r.sync] for r in self.runs)])
 
     def _full(self, kind: bytes) -> bytes:
         if kind not in self.tables:
@@ -116,16 +153,27 @@ def boxes(data: bytes, start: int, stop: int) -> Iterator[tuple[bytes, int, int]
 
 
 def tracks(data: bytes) -> list[Track]:
+    """The tracks of a file, with their fragments. Raises :class:`BrokenMedia` where boxes do not hold together."""
     found: list[Track] = []
+    moof = 0
 
     def walk(start: int, stop: int) -> None:
+        nonlocal moof
         for kind, a, b in boxes(data, start, stop):
             if kind == b"trak":
                 found.append(Track())
-            if kind in CONTAINERS:
+            if kind == b"moof":
+                moof = start_of(a)
+                fragments(a, b)
+            elif kind in CONTAINERS:
                 walk(a, b)
+            elif kind == b"trex":
+                number, _, *defaults = struct.unpack_from(">5I", data, a + 4)
+                trex[number] = tuple(defaults)
             elif not found:
                 continue
+            elif kind == b"tkhd":
+                found[-1].number = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
             elif kind == b"mdhd":
                 wide = data[a] == 1
                 found[-1].timescale, found[-1].duration = struct.unpack_from(">IQ" if wide else ">II", data, a + (20 if wide else 12))
@@ -133,28 +181,87 @@ def tracks(data: bytes) -> list[Track]:
                 found[-1].handler = data[a + 8 : a + 12].decode("latin-1")
             elif kind == b"stsd":
                 found[-1].codec = data[a + 12 : a + 16].decode("latin-1")
-            elif kind in (b"stts", b"stss", b"stsc", b"stsz", b"stco", b"co64"):
+            elif kind in (b"stts", b"stss", b"stsc", b"stsz", b"stz2", b"stco", b"co64"):
                 found[-1].tables[kind] = bytes(data[a:b])
 
+    def start_of(body: int) -> int:
+        """Where the box whose body starts here starts: its header has 8 bytes, or 16 with a 64-bit size."""
+        return body - 16 if body >= 16 and struct.unpack_from(">I4s", data, body - 16) == (1, b"moof") else body - 8
+
+    def fragments(start: int, stop: int) -> None:
+        end = moof
+        for kind, a, b in boxes(data, start, stop):
+            if kind != b"traf":
+                continue
+            inner = list(boxes(data, a, b))
+            head = next((x for k, x, _ in inner if k == b"tfhd"), None)
+            if head is None:
+                raise BrokenMedia("a track fragment without a header")
+            flags, number = struct.unpack_from(">II", data, head)
+            flags &= 0xFFFFFF
+            track = next((t for t in found if t.number == number), None)
+            if track is None:
+                raise BrokenMedia(f"a fragment of track {number}, which is not there")
+            duration, size, sample = trex.get(number, track.defaults)
+            at, base = head + 8, moof if flags & BASE_IS_MOOF else end
+            if flags & BASE:
+                base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            at += 4 * bool(flags & DESCRIPTION)
+            if flags & FRAGMENT_DURATION:
+                duration, at = struct.unpack_from(">I", data, at)[0], at + 4
+            if flags & FRAGMENT_SIZE:
+                size, at = struct.unpack_from(">I", data, at)[0], at + 4
+            if flags & FRAGMENT_FLAGS:
+                sample = struct.unpack_from(">I", data, at)[0]
+            end = base
+            for k, x, y in inner:
+                if k == b"trun":
+                    run, end = track_run(data[x:y], base, end, (duration, size, sample))
+                    track.runs.append(run)
+
+    trex: dict[int, tuple[int, int, int]] = {}
     try:
         walk(0, len(data))
     except (struct.error, IndexError) as e:
         raise BrokenMedia(str(e)) from e
+    for t in found:
+        if t.runs:
+            # The header of a fragmented file counts no more than its own samples, often none.
+            t.duration = int(t.durations().sum())
     return found
 
 
+def track_run(raw: bytes, base: int, end: int, defaults: tuple[int, int, int]) -> tuple[Run, int]:
+    """The samples of a trun box and where their bytes end; without an offset of its own a run follows the one before."""
+    flags, n = struct.unpack_from(">II", raw)
+    flags &= 0xFFFFFF
+    at, start = 8, end
+    if flags & OFFSET:
+        start, at = base + struct.unpack_from(">i", raw, at)[0], at + 4
+    first = None
+    if flags & FIRST_FLAGS:
+        first, at = struct.unpack_from(">I", raw, at)[0], at + 4
+    present = [f for f in (DURATION, SIZE, FLAGS, COMPOSITION) if flags & f]
+    own = _ints(raw, at, n * len(present), ">u4").reshape(n, len(present))
+    column = lambda f, default: own[:, present.index(f)] if f in present else np.full(n, default, np.int64)
+    durations, sizes, samples = column(DURATION, defaults[0]), column(SIZE, defaults[1]), column(FLAGS, defaults[2]).copy()
+    if first is not None and n:
+        samples[0] = first
+    starts = start + np.cumsum(sizes) - sizes
+    return Run(np.stack([starts, sizes], axis=1), durations, (samples & NON_SYNC) == 0), int(start + sizes.sum())
+
+
 def payload(data: bytes, track: Track) -> bytes:
-    """The samples of a track in order, gathered chunk by chunk."""
-    ranges, (offsets, per) = track.ranges(), track.chunks()
-    ends = np.concatenate([[0], np.cumsum(ranges[:, 1])])
-    stops = ends[np.cumsum(per)] if len(per) else ends[:0]
-    out, done = [], 0
-    for at, stop in zip(offsets.tolist(), stops.tolist()):
-        if at + stop - done > len(data):
-            raise BrokenMedia("a chunk ends after the file")
-        out.append(data[at : at + stop - done])
-        done = stop
-    return b"".join(out)
+    """The samples of a track in order; those that lie end to end are gathered at once."""
+    ranges = track.ranges()
+    if not len(ranges):
+        return b""
+    stops = ranges.sum(axis=1)
+    if ranges.min() < 0 or stops.max() > len(data):
+        raise BrokenMedia("a sample lies outside the file")
+    heads = np.flatnonzero(np.concatenate([[True], ranges[1:, 0] != stops[:-1]]))
+    tails = np.append(heads[1:], len(ranges)) - 1
+    return b"".join(data[a:b] for a, b in zip(ranges[heads, 0].tolist(), stops[tails].tolist()))
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:

@@ -18,16 +18,20 @@ RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
 FRAME = 8 * 8 * 3
 
 
+def _track(data: bytes) -> isomedia.Track:
+    found = isomedia.tracks(data)
+    if not found:
+        raise isomedia.BrokenMedia("no track")
+    return next((t for t in found if t.handler == "vide"), found[0])
+
+
 def _index(data: bytes | None) -> tuple:
     if data is None:
         return (None,) * 8
     try:
-        found = isomedia.tracks(data)
-        if not found:
-            raise isomedia.BrokenMedia("no track")
-        track = next((t for t in found if t.handler == "vide"), found[0])
+        track = _track(data)
         keys = [{"offset": a, "size": b} for a, b in track.keyframes().tolist()]
-        return track.handler, track.codec, track.timescale, track.duration, track.seconds, len(track.sizes()), keys, None
+        return track.handler, track.codec, track.timescale, track.duration, track.seconds, track.samples(), keys, None
     except isomedia.BrokenMedia as e:
         return (None,) * 7 + (str(e),)
 
@@ -55,45 +59,70 @@ def index_media(df: DataFrame, media: str = "media") -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def text_file(text: bytes | None) -> bytes:
+    """A text as raw 8x8 RGB frames in an ISO media file; bytes 32 fill the last frame, and an empty text is one frame."""
+    text = text or b""
+    return isomedia.write(text.ljust(max(1, -(-len(text) // FRAME)) * FRAME))
+
+
 def texts_as_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text as raw 8x8 RGB frames in an ISO media file.
+    """(doc_id, n_bytes, media): each text as :func:`text_file`.
 
-    A null text counts as empty; bytes 32 fill the last frame, and an empty text is one frame.
-    Equal texts give equal files.
+    A null text counts as empty. Equal texts give equal files.
     """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths, files = [], []
-            for text in utf8(b.column(1)):
-                text = text or b""
-                lengths.append(len(text))
-                files.append(isomedia.write(text.ljust(max(1, -(-len(text) // FRAME)) * FRAME)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            texts = list(utf8(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(map(text_file, texts), pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+DIGEST = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+KINDS = {pa.int64(): "long", pa.string(): "string"}
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+def digest(data: bytes | None) -> tuple:
+    """What :func:`media_digest` says of one file, from its stored bytes alone."""
+    if data is None:
+        return (None,) * len(DIGEST)
+    stored = (len(data), hashlib.sha256(data).hexdigest())
+    try:
+        track = _track(data)
+        back, keys = isomedia.payload(data, track), track.keyframes()
+    except isomedia.BrokenMedia as e:
+        return None, None, None, *stored, f"error={e}"
+    spans = ",".join(f"{a}+{n}" for a, n in keys.tolist())
+    feature = f"codec={track.codec.strip()};duration={track.duration}/{track.timescale};samples={track.samples()};keyframes={len(keys)};ranges={zlib.crc32(spans.encode()):08x}"
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), *stored, feature
+
+
+def media_digest(stored: DataFrame, media: str = "media") -> DataFrame:
+    """(doc_id, and the columns of ``DIGEST``) of the files in ``media``: the payload read back, the file, and its index in short.
+
+    Null bytes give nulls; of bytes that are no whole media file the size and digest stay, and
+    ``feature`` says why. A map over rows: no shuffle; repeated rows stay.
+    """
+    return _digests(stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(media).cast("binary")), lambda data: data, "")
 
 
-def media_digest(stored: DataFrame) -> DataFrame:
-    """What op8 returns, from the stored files alone (doc_id, n_bytes, media, and the index of them)."""
+def _digests(rows: DataFrame, file, more: str) -> DataFrame:
+    """``digest`` of ``file`` of the second column; with ``more`` the length of that column too."""
+    prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            rows = []
-            for data, codec, timescale, duration, samples, keys in zip(utf8(c["media"]), *(c[x].to_pylist() for x in ("codec", "timescale", "duration", "samples", "keyframes"))):
-                back = isomedia.payload(data, isomedia.tracks(data)[0])
-                spans = ",".join(f"{k['offset']}+{k['size']}" for k in keys)
-                feature = f"codec={codec.strip()};duration={duration}/{timescale};samples={samples};keyframes={len(keys)};ranges={zlib.crc32(spans.encode()):08x}"
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([c["doc_id"], c["n_bytes"], *(pa.array(x, k) for x, k in zip(columns, kinds))], names=["doc_id", "n_bytes", *names])
+            held = list(utf8(b.column(1)))
+            columns = list(zip(*(digest(file(x)) for x in held))) or [()] * len(DIGEST)
+            lengths = {"n_bytes": pa.array([len(x or b"") for x in held], pa.int64())} if more else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), **lengths, **{n: pa.array(c, k) for c, (n, k) in zip(columns, DIGEST)}})
 
-    return stored.select("doc_id", "n_bytes", "media", "codec", "timescale", "duration", "samples", "keyframes").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(run, "doc_id long, " + more + ", ".join(f"{n} {KINDS[k]}" for n, k in DIGEST))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digest(index_media(texts_as_media(table(spark, sf_dir, "documents"))))
+    """Each text is written as a file, and what is told is read from the file; one map, so files do not leave the task."""
+    docs = table(spark, sf_dir, "documents")
+    return _digests(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), text_file, "n_bytes long, ")

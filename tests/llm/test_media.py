@@ -59,16 +59,80 @@ def test_broken_and_null_media(spark):
     assert all(got[i].codec is None and got[i].error for i in (3, 4, 5))
 
 
+def full(kind, flags, *parts):
+    return box(kind, struct.pack(">I", flags) + b"".join(p if isinstance(p, bytes) else struct.pack(">I", p) for p in parts))
+
+
+def empty_track(number, handler, codec, mdhd=(0, 600)):
+    stbl = box(b"stbl", full(b"stsd", 0, 1, box(codec, bytes(8))) + full(b"stts", 0, 0) + full(b"stsc", 0, 0) + full(b"stsz", 0, 0, 0) + full(b"stco", 0, 0))
+    return box(b"trak", full(b"tkhd", 3, 0, 0, number, 0, 0) + box(b"mdia", full(b"mdhd", 0, 0, 0, mdhd[1], mdhd[0], 0) + full(b"hdlr", 0, 0, handler, bytes(12)) + box(b"minf", stbl)))
+
+
+def test_fragments_are_read():
+    """Two tracks in two fragments: defaults of trex and tfhd, first-sample flags, bases of either kind, a run that follows another."""
+    moov = box(b"moov", empty_track(1, b"vide", b"avc1") + empty_track(2, b"soun", b"mp4a", (0, 48000)) + box(b"mvex", full(b"trex", 0, 1, 1, 20, 7, 0x10000) + full(b"trex", 0, 2, 1, 1024, 4, 0)))
+    video, audio = [b"v" * 7, b"w" * 7, b"x" * 3, b"y" * 5], [b"aaaa", b"bbbb", b"cc"]
+
+    def one(at):
+        def traf(offset):
+            return box(b"traf", full(b"tfhd", 0x20000, 1) + full(b"trun", 0x5, 2, offset, 0)) + box(b"traf", full(b"tfhd", 0x20000 | 0x8, 2, 1000) + full(b"trun", 0x1, 2, offset + 14))
+
+        return box(b"moof", full(b"mfhd", 0, 1) + traf(len(box(b"moof", full(b"mfhd", 0, 1) + traf(0))) + 8))
+
+    def two(at):
+        head = full(b"tfhd", 0x1 | 0x20, 1, struct.pack(">Q", at), 0x10000)
+        runs = lambda o: full(b"trun", 0x1 | 0x300 | 0x400, 1, o, 33, 3, 0) + full(b"trun", 0x200, 1, 5)
+        sound = full(b"tfhd", 0x20000, 2)
+        body = lambda o: box(b"traf", head + runs(o)) + box(b"traf", sound + full(b"trun", 0x1 | 0x200, 1, o + 8, 2))
+        return box(b"moof", body(len(box(b"moof", body(0))) + 8))
+
+    file = moov + one(0) + box(b"mdat", video[0] + video[1] + audio[0] + audio[1])
+    file += two(len(file)) + box(b"mdat", video[2] + video[3] + audio[2])
+    v, a = isomedia.tracks(file)
+    assert [file[o : o + n] for o, n in v.ranges().tolist()] == video and isomedia.payload(file, v) == b"".join(video)
+    assert [file[o : o + n] for o, n in a.ranges().tolist()] == audio
+    assert v.durations().tolist() == [20, 20, 33, 20] and v.duration == 93 and (v.codec, v.samples()) == ("avc1", 4)
+    assert [file[o : o + n] for o, n in v.keyframes().tolist()] == [video[0], video[2]]
+    assert a.duration == 1000 * 2 + 1024 and a.keyframes().tolist() == a.ranges().tolist()
+    keys = media._index(file)
+    assert keys[:4] == ("vide", "avc1", 600, 93) and keys[7] is None
+    with pytest.raises(isomedia.BrokenMedia):
+        isomedia.payload(file[:-4], a)
+    assert media._index(moov.replace(struct.pack(">II", 0x600, 1), b"") + box(b"moof", box(b"traf", full(b"tfhd", 0, 9))))[7]
+
+
+@pytest.mark.parametrize("width,raw", [(4, bytes([0x53, 0x20])), (8, bytes([5, 3, 2])), (16, struct.pack(">3H", 5, 3, 2))])
+def test_compact_sizes(width, raw):
+    track = isomedia.Track(tables={b"stz2": bytes(4) + bytes([0, 0, 0, width]) + struct.pack(">I", 3) + raw})
+    assert track.sizes().tolist() == [5, 3, 2]
+
+
 def test_digest(spark):
-    texts = [(1, "été"), (2, None), (3, ""), (4, "x" * 192), (5, "y" * 193), (6, "word " * 40000), (7, "été")]
+    texts = [(1, "été"), (2, None), (3, ""), (4, "x" * 192), (5, "y" * 193), (6, "word " * 40000), (7, "été"), (None, "no id")]
     docs = spark.createDataFrame([(*t, 0) for t in texts], "doc_id long, text string, media int")
-    got = {r.doc_id: r for r in media.media_digest(media.index_media(media.texts_as_media(docs))).collect()}
+    stored = media.texts_as_media(docs)
+    got = {r.doc_id: r for r in media.media_digest(stored).collect()}
+    lengths = {r.doc_id: r.n_bytes for r in stored.collect()}
     for doc_id, text in texts:
         raw = (text or "").encode()
         padded = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
         r = got[doc_id]
-        assert (r.n_bytes, r.payload_bytes) == (len(raw), len(padded))
+        assert (lengths[doc_id], r.payload_bytes) == (len(raw), len(padded))
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-16:])
         assert r.media_bytes == len(isomedia.write(padded)) and r.media_sha256 == hashlib.sha256(isomedia.write(padded)).hexdigest()
     assert got[1].asDict() | {"doc_id": 7} == got[7].asDict()
-    assert media.media_digest(media.index_media(media.texts_as_media(docs.limit(0)))).collect() == []
+    assert media.media_digest(stored.limit(0)).collect() == []
+
+
+def test_digest_of_null_and_broken_media(spark):
+    good = isomedia.write(frames(2))
+    got = {r.doc_id: r for r in media.media_digest(spark.createDataFrame([(1, good), (2, None), (3, good[:100]), (4, b"")], "doc_id long, media binary")).collect()}
+    assert got[1].payload_bytes == 384 and got[2].media_bytes is None and got[2].feature is None
+    assert got[3].media_bytes == 100 and got[3].payload_bytes is None and got[3].feature.startswith("error=") and got[4].feature == "error=no track"
+
+
+def test_query_is_the_composition(spark, sf):
+    stored = media.texts_as_media(spark.read.parquet(f"{sf}/documents.parquet"))
+    want = stored.select("doc_id", "n_bytes").join(media.media_digest(stored), "doc_id")
+    got = media.op8_media_columns(spark, sf)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
