@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tessera.llm.birnn import ByteTagger
 from tessera.llm.common import bounded_sample, prepare, table
 
-#: Bytes of a segment; every segment of a text is labelled, so every byte is.
-SEGMENT = 128
-#: Documents the network learns from at most, and the parts of each. The bound of the training sample.
-TRAIN_DOCUMENTS, PARTS = 3000, 2
+#: Bytes of a segment that are labelled, and bytes around it that the network reads too. Every byte of a text is labelled.
+SEGMENT, CONTEXT = 128, 32
+SPAN = SEGMENT + 2 * CONTEXT
+#: Documents the network learns from at most: the bound of the training sample. Their texts are read whole.
+TRAIN_DOCUMENTS = 1500
 HIDDEN, STEPS = 8, 200
 #: Segments that run through the network together.
 TOGETHER = 2048
@@ -40,31 +41,38 @@ def has_letter(text: str | None) -> bool:
 def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, hidden: int = HIDDEN, steps: int = STEPS, seed: int = 0) -> LanguageModel:
     """Learn from ``docs`` (doc_id, text, lang): rows not held out, with text and lang.
 
-    The sample is the ``documents`` rows that come first by a hash of doc_id (ties: by lang and
-    text), and of each ``PARTS`` places that the hash names, so it is bounded at any size. Positions
-    are weighted so that each language counts alike. Without any such row nothing is learned, and
-    every text is unknown.
+    The sample is the ``documents`` rows that come first by a hash of doc_id (ties: by lang and a
+    hash of the text), so it is bounded at any size; it is read row by row, and of each text every
+    segment with a letter is learned from. Positions are weighted so that each language counts
+    alike. Without any such row nothing is learned, and every text is unknown.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    spans = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("text") - SEGMENT, F.lit(1))).cast("int") + 1, F.lit(SEGMENT)).alias(f"part{i}") for i in range(PARTS)]
-    rows = bounded_sample(usable, documents, "doc_id").select("h", "lang", *spans).orderBy("h", "lang", *[f"part{i}" for i in range(PARTS)]).limit(documents).collect()
-    found = [(r["lang"], r[f"part{i}"].encode()[:SEGMENT]) for r in rows for i in range(PARTS) if has_letter(r[f"part{i}"])]
+    rows = bounded_sample(usable, documents, "doc_id").orderBy("h", "lang", F.xxhash64("text")).limit(documents).select("text", "lang").collect()
+    found = [(r["lang"], s) for r in rows for s in segments(r["text"].encode()) if has_letter(s[0].decode("utf-8", "ignore"))]
     languages = tuple(sorted({lang for lang, _ in found}))
     if not languages:
         return LanguageModel((), None)
     y = np.array([languages.index(lang) for lang, _ in found])
-    x, weight = pack([text for _, text in found])
+    x, weight = pack([s for _, s in found])
     weight *= (1 / np.bincount(y))[y]
     net = ByteTagger(len(languages), hidden, seed)
     net.fit(x, y, weight, steps, seed=seed)
     return LanguageModel(languages, net)
 
 
-def pack(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(SEGMENT, n) bytes, zeros after the end, and 1 where there is a byte."""
-    joined = np.frombuffer(b"".join(s.ljust(SEGMENT, b"\0") for s in segments), np.uint8).reshape(-1, SEGMENT)
-    lengths = np.array([len(s) for s in segments])
-    return np.ascontiguousarray(joined.T), (np.arange(SEGMENT)[:, None] < lengths).astype(np.float32)
+def segments(text: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes read, where the labelled ones start, their number) of the segments of a text, end to end."""
+    for at in range(0, len(text), SEGMENT):
+        low = max(0, at - CONTEXT)
+        yield text[low : at + SEGMENT + CONTEXT], at - low, min(SEGMENT, len(text) - at)
+
+
+def pack(held: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(SPAN, n) bytes, zeros after the end, and 1 where a byte is labelled."""
+    joined = np.frombuffer(b"".join(s.ljust(SPAN, b"\0") for s, _, _ in held), np.uint8).reshape(-1, SPAN)
+    first, n = (np.array([s[k] for s in held]) for k in (1, 2))
+    at = np.arange(SPAN)[:, None]
+    return np.ascontiguousarray(joined.T), ((at >= first) & (at < first + n)).astype(np.float32)
 
 
 def pooled(model: LanguageModel, texts: list[bytes]) -> np.ndarray:
@@ -75,15 +83,14 @@ def pooled(model: LanguageModel, texts: list[bytes]) -> np.ndarray:
     def flush() -> None:
         x, here = pack(held)
         p = model.net.probabilities(x)
-        if not here.all():
-            p *= here[:, None, :]
+        p *= here[:, None, :]
         np.add.at(sums, np.array(owner), p.sum(axis=0).T)
         held.clear()
         owner.clear()
 
     for i, text in enumerate(texts):
-        for at in range(0, len(text), SEGMENT):
-            held.append(text[at : at + SEGMENT])
+        for segment in segments(text):
+            held.append(segment)
             owner.append(i)
             if len(held) == TOGETHER:
                 flush()

@@ -24,6 +24,8 @@ WORDS, SHAPES = 1 << 12, 1 << 10
 AGAIN = SHAPES - 1
 #: Words whose buckets a worker remembers.
 CACHE = 500_000
+#: Words of a stretch whose distinct words are counted.
+STRETCH = 64
 
 _KIND = np.zeros(256, np.int8)  # 0: other, 1: lower, 2: upper, 3: digit, 4: space, 5: mark
 _KIND[128:] = 1
@@ -42,10 +44,14 @@ def _between(x: float, bad_below: float, good_from: float, good_to: float, bad_a
 
 
 def votes(text: bytes) -> tuple[int, ...]:
-    """What each labeller says of a text: good, bad or nothing. Thresholds are shares of the whole text."""
+    """What each labeller says of a text: good, bad or nothing; nothing of a text without a word.
+
+    Thresholds are shares of the whole text. Shares of few words are drawn towards a neutral value by
+    some words that are added, so one rule holds for texts of any length.
+    """
     words = text.split()
     n = len(words)
-    if n < 3:
+    if not n:
         return (ABSTAIN,) * len(LABELLERS)
     _, lower, upper, digit, _, mark = (np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _KINDS).tolist()
     solid, letters = lower + upper + digit + mark, max(1, lower + upper)
@@ -53,16 +59,17 @@ def votes(text: bytes) -> tuple[int, ...]:
     again = sum(map(eq, words, words[1:]))
     short = sum(len(w) <= 4 for w in words)
     odd = len(text) - len(text.translate(None, _ODD)) + text.count(b"!!") + text.count(b"??")
+    distinct = sum(len(set(words[i : i + STRETCH])) for i in range(0, n, STRETCH))
     return (
         _between(mark / solid, 0, 0, 0.08, 0.14),
         _between(upper / letters, 0, 0, 0.15, 0.4),
         _between(len(_LETTERLESS.findall(text)) / n, 0, 0, 0.05, 0.15),
         _between(odd / n, 0, 0, 0.05, 0.15),
-        _between(len(_SENTENCE.findall(text)) / n, 0.008, 0.03, 0.5, 0.8) if n >= 20 else ABSTAIN,
-        _between(short / n, 0.1, 0.22, 0.9, 0.97) if n >= 20 else ABSTAIN,
-        _between(again / n, 0, 0, 0.03, 0.1) if n >= 5 else ABSTAIN,
-        _between(len(set(lines)) / len(lines), 0.6, 0.8, 1, 1) if len(lines) >= 4 else ABSTAIN,
-        _between(len(set(words)) / n, 0.2, 0.4, 1, 1) if 50 <= n < 1000 else ABSTAIN,
+        _between((len(_SENTENCE.findall(text)) + 0.25) / (n + 15), 0.008, 0.03, 0.5, 0.8),
+        _between((short + 2) / (n + 10), 0.1, 0.22, 0.9, 0.97),
+        _between(again / (n + 5), 0, 0, 0.03, 0.1),
+        _between((len(set(lines)) + 2) / (len(lines) + 2), 0.6, 0.8, 1, 1),
+        _between(distinct / n, 0.3, 0.5, 1, 1),
     )
 
 
@@ -140,18 +147,25 @@ class Scorer:
     bias: float
 
     def score(self, buckets: np.ndarray) -> float:
+        """The probability that a text of these buckets is good; 0 without any."""
         if not len(buckets):
             return 0.0
         z = self.bias + float(self.words[buckets >> 16].mean() + self.shapes[buckets & 0xFFFF].mean())
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit_scorer(rows: list[np.ndarray], target: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 1e-4) -> Scorer:
-    """Logistic regression on posterior labels, by Adam over all rows; classes weigh alike."""
+def shares(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column, share) of the buckets that a text has: those of words first, then those of shapes."""
+    both = np.concatenate([buckets >> 16, (buckets & 0xFFFF) + WORDS])
+    at, count = np.unique(both, return_counts=True)
+    return at.astype("<u2"), (count / max(1, len(buckets))).astype("<f4")
+
+
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 1e-4) -> Scorer:
+    """Logistic regression of posterior labels on ``shares``, by Adam over all rows; classes weigh alike."""
     x = np.zeros((len(rows), WORDS + SHAPES), np.float32)
-    for i, r in enumerate(rows):
-        x[i, :WORDS] = np.bincount(r >> 16, minlength=WORDS) / max(1, len(r))
-        x[i, WORDS:] = np.bincount(r & 0xFFFF, minlength=SHAPES) / max(1, len(r))
+    for i, (at, share) in enumerate(rows):
+        x[i, at] = share
     x = np.hstack([x, np.ones((len(rows), 1), np.float32)])
     weight = target / max(target.sum(), 1e-6) + (1 - target) / max((1 - target).sum(), 1e-6)
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
@@ -185,14 +199,16 @@ def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Scorer:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["".join(map(str, votes(t))) for t in texts], pa.string()), pa.array([_buckets(t).tobytes() for t in texts], pa.binary())], names=["h", "pattern", "buckets"])
+            own = [shares(_buckets(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["".join(map(str, votes(t))) for t in texts], pa.string()), *(pa.array([x[k].tobytes() for x in own], pa.binary()) for k in (0, 1))], names=["h", "pattern", "at", "share"])
 
     sample = bounded_sample(docs.where(F.length("text") > 0), documents, "doc_id").select("h", F.col("text").cast("string"))
-    rows = sample.mapInArrow(read, "h long, pattern string, buckets binary").orderBy("h", "buckets").limit(documents).collect()
+    # At most ``documents`` rows of WORDS + SHAPES shares, however long the texts are.
+    rows = sample.mapInArrow(read, "h long, pattern string, at binary, share binary").orderBy("h", "at", "share").limit(documents).collect()
     if not rows:
         return Scorer(np.zeros(WORDS, np.float32), np.zeros(SHAPES, np.float32), 0.0)
     target = model.posterior(np.array([[int(c) for c in r.pattern] for r in rows]))
-    return fit_scorer([np.frombuffer(bytes(r.buckets), np.int64) for r in rows], target)
+    return fit_scorer([(np.frombuffer(bytes(r["at"]), "<u2"), np.frombuffer(bytes(r["share"]), "<f4")) for r in rows], target)
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, least: float = 0.5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fetch, filesystem, prepare, publish, shared_path, table
+from tessera.llm.common import fetch, filesystem, prepare, publish, release, settle, shared_path, table
 
-MAGIC = b"UDIG0001"
+MAGIC = b"UDIG0002"
 #: Entries of one file of the index, about.
 FILE_ENTRIES = 1 << 20
+#: Files of an index that a worker keeps open; they are mapped where the folder is mounted.
+OPEN_FILES = 16
 #: What an entry does. A rule decides alone, the longest first; a listed entry blocks where no rule fits.
 LISTED, ALLOW, BLOCK = 0, 1, 2
 SEED = 42
+#: What the key of a host starts with; no host and no entry holds it.
+HOST = "/"
 
 
 def digests(keys: Sequence[bytes]) -> np.ndarray:
@@ -29,14 +34,15 @@ def digests(keys: Sequence[bytes]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class UrlIndex:
-    """A folder of files by the leading ``bits`` of the digest, and the shapes that entries have.
+    """A folder of files by the leading ``bits`` of the digest.
 
-    ``shapes`` are the (labels of host, length of path) pairs that occur: only such keys are probed.
+    A key is an entry, whose value is its action, or the host of some entries, whose value is the
+    lengths of their paths. So a url is looked up by the hosts it is below, and with each that is
+    held by paths of just these lengths.
     """
 
     folder: str
     bits: int
-    shapes: tuple[tuple[int, int], ...]
 
 
 def build_index(entries: DataFrame) -> UrlIndex:
@@ -48,35 +54,34 @@ def build_index(entries: DataFrame) -> UrlIndex:
     """
     spark = prepare(entries.sparkSession)
     folder = shared_path(spark, "urls")
-    rows = entries.where(F.length("entry") > 0).groupBy("entry").agg(F.max("action").cast("int").alias("action"))
+    rows = settle(entries.where(F.length("entry") > 0).groupBy("entry").agg(F.max("action").cast("int").alias("action")), "entries")
+    bits = (rows.count() // FILE_ENTRIES).bit_length()
     host = F.split_part("entry", F.lit("/"), F.lit(1))
-    shape = F.struct(F.size(F.split(host, "[.]")).alias("labels"), (F.length("entry") - F.length(host)).alias("path"))
-    found = rows.groupBy(shape.alias("shape")).count().collect()
-    bits = max(0, (sum(r["count"] for r in found) // FILE_ENTRIES)).bit_length()
-    file = F.shiftrightunsigned(F.xxhash64("entry"), 64 - bits).cast("int") if bits else F.lit(0)
+    hosts = rows.groupBy(F.concat(F.lit(HOST), host).alias("key")).agg(F.array_sort(F.collect_set(F.length("entry") - F.length(host))).alias("value"))
+    keyed = rows.select(F.col("entry").alias("key"), F.array("action").alias("value")).unionByName(hosts)
+    file = F.shiftrightunsigned(F.xxhash64("key"), 64 - bits).cast("int") if bits else F.lit(0)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
-            for n, entry, action in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(n, []).append((entry.encode(), action))
+            for n, key, value in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(n, []).append((key.encode(), value))
         for n, own in held.items():
             publish(f"{folder}/{n:06d}.udig", pack(own))
             yield pa.RecordBatch.from_pydict({"file": pa.array([n], pa.int32())})
 
-    keyed = rows.select(file.alias("file"), "entry", "action")
-    keyed.repartition(1 << bits, "file").mapInArrow(write, "file int").collect()
-    shapes = sorted((r["shape"].labels, r["shape"].path) for r in found)
-    return UrlIndex(folder, bits, tuple(shapes))
+    keyed.select(file.alias("file"), "key", "value").repartition(1 << bits, "file").mapInArrow(write, "file int").count()
+    release(rows)
+    return UrlIndex(folder, bits)
 
 
-def pack(entries: list[tuple[bytes, int]]) -> bytes:
+def pack(entries: list[tuple[bytes, list[int]]]) -> bytes:
+    """A file of keys and values: sorted digests, offsets of strings and of values, values, strings."""
     keys = digests([e for e, _ in entries])
     order = np.argsort(keys, kind="stable")
-    strings = [entries[i][0] for i in order]
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype("<u8")
-    actions = np.array([entries[i][1] for i in order], np.uint8)
-    return b"".join([MAGIC, struct.pack("<Q", len(strings)), keys[order].astype("<u8").tobytes(), offsets.tobytes(), actions.tobytes(), *strings])
+    strings, values = [entries[i][0] for i in order], [entries[i][1] for i in order]
+    ends = lambda own: np.cumsum([0, *map(len, own)]).astype("<u8").tobytes()
+    return b"".join([MAGIC, struct.pack("<Q", len(strings)), keys[order].astype("<u8").tobytes(), ends(strings), ends(values), np.array([x for v in values for x in v], "<u4").tobytes(), *strings])
 
 
 class DigestFile:
@@ -87,43 +92,46 @@ class DigestFile:
         data = np.memmap(path, np.uint8, "r") if fs.type_name == "local" else np.frombuffer(fetch(uri), np.uint8)
         if data[:8].tobytes() != MAGIC:
             raise ValueError(f"{uri} is no digest file")
-        n = int(data[8:16].view("<u8")[0])
-        self.keys = data[16 : 16 + 8 * n].view("<u8")
-        self.offsets = data[16 + 8 * n : 24 + 16 * n].view("<u8")
-        self.actions = data[24 + 16 * n : 24 + 17 * n]
-        self.strings = data[24 + 17 * n :]
-
-    def find(self, keys: np.ndarray, strings: Sequence[bytes]) -> np.ndarray:
-        """The action of each string, -1 where it is not held: a binary search, then the stored string."""
+        n, at = int(data[8:16].view("<u8")[0]), 16
+        self.keys, at = data[at : at + 8 * n].view("<u8"), at + 8 * n
+        self.offsets, at = data[at : at + 8 * n + 8].view("<u8"), at + 8 * n + 8
+        self.starts, at = data[at : at + 8 * n + 8].view("<u8"), at + 8 * n + 8
+        self.values, at = data[at : at + 4 * int(self.starts[-1])].view("<u4"), at + 4 * int(self.starts[-1])
+        self.strings = data[at:]
+
+    def find(self, keys: np.ndarray, strings: Sequence[bytes]) -> list[list[int] | None]:
+        """The value of each string, None where it is not held: a binary search, then the stored string."""
         at = np.searchsorted(self.keys, keys)
         last = len(self.keys)
-        out = np.full(len(keys), -1, np.int8)
+        out: list[list[int] | None] = [None] * len(keys)
         for i in np.flatnonzero((at < last) & (self.keys[np.minimum(at, last - 1)] == keys)) if last else ():
             j = int(at[i])
             while j < last and self.keys[j] == keys[i]:
                 if self.strings[self.offsets[j] : self.offsets[j + 1]].tobytes() == strings[i]:
-                    out[i] = self.actions[j]
+                    out[i] = self.values[self.starts[j] : self.starts[j + 1]].tolist()
                     break
                 j += 1
         return out
 
 
-_files: dict[str, DigestFile] = {}
+@lru_cache(OPEN_FILES)
+def _file(uri: str) -> DigestFile | None:
+    fs, path = filesystem(uri)
+    # No entry has such a digest where there is no file.
+    return None if fs.get_file_info(path).type.name == "NotFound" else DigestFile(uri)
 
 
-def lookup(index: UrlIndex, strings: Sequence[bytes]) -> np.ndarray:
+def lookup(index: UrlIndex, strings: Sequence[bytes]) -> list[list[int] | None]:
+    """The value of each string, None where it is not held."""
     keys = digests(strings)
     which = (keys >> np.uint64(64 - index.bits)).astype(np.int64) if index.bits else np.zeros(len(keys), np.int64)
-    out = np.full(len(keys), -1, np.int8)
+    out: list[list[int] | None] = [None] * len(keys)
     for n in np.unique(which):
-        uri = f"{index.folder}/{n:06d}.udig"
-        if uri not in _files:
-            fs, path = filesystem(uri)
-            if fs.get_file_info(path).type.name == "NotFound":  # no entry has such a digest
-                continue
-            _files[uri] = DigestFile(uri)
-        at = np.flatnonzero(which == n)
-        out[at] = _files[uri].find(keys[at], [strings[i] for i in at])
+        file = _file(f"{index.folder}/{n:06d}.udig")
+        if file:
+            at = np.flatnonzero(which == n).tolist()
+            for i, value in zip(at, file.find(keys[at], [strings[i] for i in at])):
+                out[i] = value
     return out
 
 
@@ -143,23 +151,25 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def judge(index: UrlIndex, parts: list[tuple[str, str]]) -> list[tuple[str | None, str]]:
     """(rule, verdict) of each (host, path)."""
+    below = {host: [host[i:] for i in [0, *(k + 1 for k, c in enumerate(host) if c == ".")]] for host in {h for h, _ in parts if h}}
+    hosts = sorted({x for own in below.values() for x in own})
+    lengths = dict(zip(hosts, lookup(index, [(HOST + x).encode() for x in hosts])))
     keys, owner = [], []
     for i, (host, path) in enumerate(parts):
-        labels = host.split(".")
-        for n, length in index.shapes:
-            if host and n <= len(labels) and length <= len(path):
-                keys.append((".".join(labels[len(labels) - n :]) + path[:length]).encode())
-                owner.append(i)
+        for x in below.get(host, ()):
+            for length in lengths[x] or ():
+                if length <= len(path):
+                    keys.append(x + path[:length])
+                    owner.append(i)
     rule: list[tuple] = [(-1, -1, None, 0)] * len(parts)
     listed = [False] * len(parts)
-    found = lookup(index, keys)
-    for k in np.flatnonzero(found >= 0):
-        i, action = owner[k], int(found[k])
-        if action == LISTED:
+    for i, text, value in zip(owner, keys, lookup(index, [k.encode() for k in keys])):
+        if value is None:
+            continue
+        if value[0] == LISTED:
             listed[i] = True
         else:
-            text = keys[k].decode()
-            rule[i] = max(rule[i], (len(text), len(text.partition("/")[0]), text, action))
+            rule[i] = max(rule[i], (len(text), len(text.partition("/")[0]), text, value[0]))
     return [(r[2], "block" if (r[3] == BLOCK if r[2] is not None else bad) else "allow") for r, bad in zip(rule, listed)]
 
 

@@ -43,6 +43,39 @@ def test_fast_run_agrees_with_the_training_pass():
     assert np.allclose(net.probabilities(x), p / p.sum(axis=1, keepdims=True), atol=1e-5)
 
 
+def direct(net, text):
+    """The mean over bytes of the label probabilities: gates, states and output, byte by byte, of each segment and what is around it."""
+    f = lambda v: 1 / (1 + np.exp(-2 * v))
+
+    def states(d, row):
+        k, h, out = d.hidden, np.zeros(d.hidden), []
+        for byte in row:
+            g, a = d.table[:, byte].astype(float), d.rec.astype(float) @ h
+            r, z = f(g[:k] + a[:k]), f(g[k : 2 * k] + a[k : 2 * k])
+            new = np.tanh(g[2 * k :] + r * a[2 * k :])
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    total = np.zeros(len(net.bias))
+    for at in range(0, len(text), 128):
+        low = max(0, at - 32)
+        row = text[low : at + 160].ljust(192, b"\0")
+        left, right = states(net.left, row), states(net.right, row[::-1])[::-1]
+        for i in range(at - low, at - low + min(128, len(text) - at)):
+            e = np.exp(net.weight.astype(float) @ np.concatenate([left[i], right[i]]) + net.bias[:, 0])
+            total += e / e.sum()
+    return total / len(text)
+
+
+def test_pooled_probabilities_against_brute_force(monkeypatch):
+    monkeypatch.setattr(langid, "TOGETHER", 3)
+    model = langid.LanguageModel(("aa", "bb", "cc"), birnn.ByteTagger(3, 4, seed=6))
+    texts = [rng.encode() for rng in ("a", "schön " * 60, "x" * 128, "été que " * 33, "of")]
+    got = langid.pooled(model, texts)
+    assert np.allclose(got, [direct(model.net, t) for t in texts], atol=1e-5)
+
+
 def test_held_out_accuracy_and_odd_texts(spark):
     rows = corpus() + [(900, None, "aa"), (901, "", "aa"), (902, "123 !?", "aa"), (903, "zu ung der " * 20000, None), (904, "½ ²", "bb"), (None, "the was of ing the was of ing", None), (5, "x", "aa"), (5, "x", "aa")]
     docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string, lang_pred string")

@@ -35,9 +35,9 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_collisions_are_told_apart_by_their_strings(tmp_path, monkeypatch):
     monkeypatch.setattr(urls, "digests", lambda keys: np.full(len(keys), 7, np.uint64))
-    (tmp_path / "f").write_bytes(urls.pack([(b"one", 1), (b"two", 2)]))
+    (tmp_path / "f").write_bytes(urls.pack([(b"one", [1]), (b"two", [2, 5])]))
     held = urls.DigestFile(f"file://{tmp_path}/f")
-    assert held.find(np.array([7, 7, 7], np.uint64), [b"two", b"one", b"three"]).tolist() == [2, 1, -1]
+    assert held.find(np.array([7, 7, 7], np.uint64), [b"two", b"one", b"three"]) == [[2, 5], [1], None]
 
 
 def test_no_entries(spark):
@@ -50,3 +50,17 @@ def test_sql_agrees(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS FROM '{sf}/pages.parquet'")
     assert sorted(map(tuple, urls.op6_url_filters(spark, sf).collect())) == sorted(con.sql("SELECT page_id, host, path, rule, verdict FROM (" + urls.op6_sql() + ")").fetchall())
+
+
+def test_many_lengths_of_paths(spark):
+    """Of a host without entries nothing but the host is looked up, however many lengths other hosts have."""
+    entries = [(f"long.org/{'x' * n}", urls.BLOCK) for n in range(1, 400)] + [("plain.net/", urls.ALLOW)]
+    index = urls.build_index(spark.createDataFrame(entries, "entry string, action int"))
+    assert urls.judge(index, [("a.long.org", "/" + "x" * 250 + "y"), ("long.org", "/y"), ("plain.net", "/" + "x" * 300)]) == [("long.org/" + "x" * 250, "block"), (None, "allow"), ("plain.net/", "allow")]
+    seen = []
+    real, urls.lookup = urls.lookup, lambda i, keys: seen.extend(keys) or real(i, keys)
+    try:
+        urls.judge(index, [("a.plain.net", "/" + "x" * 300)])
+    finally:
+        urls.lookup = real
+    assert sorted(seen) == [b"/a.plain.net", b"/net", b"/plain.net", b"plain.net/"]
