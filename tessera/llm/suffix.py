@@ -4,7 +4,8 @@ One transform of a whole corpus would be one task. Here every window of ``least`
 its minimizer (the smallest hash of its 20-byte substrings) sends it, so equal windows meet and a
 bucket's transform is of bounded size. Three steps, each with its sums made before the shuffle:
 
-1. which minimizers more than one document has; only hashes are moved;
+1. which minimizers more than one document has; only hashes are moved, and of those that documents
+   read together share one each, so a minimizer that all documents have is as many rows as tasks read;
 2. of windows with such a minimizer, the pieces of text, equal pieces once; at each bucket the
    transform's intervals tell which windows of different pieces are equal, and the smallest doc_id of
    each. A minimizer that only one piece is left of has nothing to be compared with;
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,20 +138,33 @@ def _first_pass(least: int, buckets: int):
             bucket, low = (packed >> np.uint64(32 + bits)).astype(np.int32), packed.astype(np.uint32)
             owner = (packed >> np.uint64(32)).astype(np.int64) & ((1 << bits) - 1)
             ids, keys = np.array(ids, np.int64), np.array(keys, np.int32)
-            out = []
-            for part in np.split(np.arange(len(packed)), np.flatnonzero(np.diff(bucket)) + 1):
+            code = bucket.astype(np.uint64) << np.uint64(32) | low
+            _, first, which, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+            # What texts read together share, they are told; one of them stands for all elsewhere.
+            here = np.flatnonzero(times[which] > 1)
+            here = here[np.argsort(owner[here], kind="stable")]
+            cuts = np.flatnonzero(np.diff(owner[here], prepend=-1))
+            docs = [(int(ids[owner[own[0]]]), int(keys[owner[own[0]]]), code[own].tobytes()) for own in np.split(here, cuts[1:]) if len(own)]
+            out = [(row[0], *row) for row in _told(LOCAL, buckets, docs)]
+            sent = np.sort(first)
+            bucket, low, owner = bucket[sent], low[sent], owner[sent]
+            for part in np.split(np.arange(len(sent)), np.flatnonzero(np.diff(bucket)) + 1):
                 heads = np.flatnonzero(np.diff(owner[part], prepend=-1))
                 who = owner[part[heads]]
                 count = np.diff(np.append(heads, len(part))).astype(np.int32)
-                out.append((int(bucket[part[0]]), _z(ids[who].tobytes()), _z(keys[who].tobytes()), _z(count.tobytes()), low[part].tobytes()))
+                number = int(bucket[part[0]])
+                out.append((number, None, number, _z(ids[who].tobytes()), _z(keys[who].tobytes()), _z(count.tobytes()), low[part].tobytes()))
             yield _rows(out, FIRST)
 
     return run
 
 
-FIRST = [("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())]
 #: What many documents of one part are told: ids, keys and how many bytes of ``data`` are each one's.
 TOLD = [("part", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]
+#: As TOLD, by part; or, without a part, the hashes of one bucket: how many are each document's.
+FIRST = [("at", pa.int32()), *TOLD]
+#: The bucket of what is told with buckets.
+LOCAL = -1
 ONE = [("id", pa.int64()), ("key", pa.int64()), ("data", pa.binary())]
 #: Pieces of a bucket (text, sizes, 32 bits of the minimizer, all compressed; which piece, id, key and start of each place), or spans of documents.
 PIECES = [("bucket", pa.int32()), ("text", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("which", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("spans", pa.binary())]
@@ -175,7 +190,7 @@ def _rows(rows: list[tuple], fields: list) -> pa.RecordBatch:
 
 
 def _column(t: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(map(_un, t[name].to_pylist()) if name != "hashes" else t[name].to_pylist()), kind)
+    return np.frombuffer(b"".join(map(_un, t[name].to_pylist()) if name != "data" else t[name].to_pylist()), kind)
 
 
 def _told(bucket: int, parts: int, docs: list[tuple[int, int, bytes]]) -> list[tuple]:
@@ -188,10 +203,14 @@ def _told(bucket: int, parts: int, docs: list[tuple[int, int, bytes]]) -> list[t
 
 
 def _shared(parts: int):
-    """Of one bucket, for each document the hashes that another document has too."""
+    """Of one bucket, for each document the hashes that another document has too; what is told already is passed on."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, keys, counts, hashes = _column(t, "ids", "<i8"), _column(t, "keys", "<i4"), _column(t, "counts", "<i4"), _column(t, "hashes", "<u4")
+        told = t.filter(pc.is_valid(t["part"])).select([n for n, _ in TOLD])
+        t = t.filter(pc.is_null(t["part"]))
+        if not len(t):
+            return told
+        ids, keys, counts, hashes = _column(t, "ids", "<i8"), _column(t, "keys", "<i4"), _column(t, "sizes", "<i4"), _column(t, "data", "<u4")
         order = np.argsort(hashes)
         ranked = hashes[order]
         twice = np.zeros(len(hashes), bool)
@@ -204,7 +223,7 @@ def _shared(parts: int):
         low, high = 4 * kept[ends - counts], 4 * kept[ends]
         at = np.flatnonzero(high > low)
         docs = [(i, k, data[a:b]) for i, k, a, b in zip(ids[at].tolist(), keys[at].tolist(), low[at].tolist(), high[at].tolist())]
-        return pa.Table.from_batches([_rows(_told(bucket, parts, docs), TOLD)])
+        return pa.concat_tables([told, pa.Table.from_batches([_rows(_told(bucket, parts, docs), TOLD)]).cast(told.schema)])
 
     return run
 
@@ -216,7 +235,7 @@ def _gather(codes: bool):
         by: dict[tuple[int, int], list[bytes]] = {}
         for r in t.to_pylist():
             data, sizes = r["data"], np.frombuffer(_un(r["sizes"]), "<i4")
-            if codes:
+            if codes and r["bucket"] != LOCAL:
                 data, sizes = (np.frombuffer(data, "<u4") | np.uint64(r["bucket"] << 32)).tobytes(), sizes * 2
             ends = np.cumsum(sizes)
             for i, k, a, b in zip(np.frombuffer(_un(r["ids"]), "<i8").tolist(), np.frombuffer(_un(r["keys"]), "<i4").tolist(), (ends - sizes).tolist(), ends.tolist()):
@@ -389,11 +408,11 @@ def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
         raise ValueError(f"least must be {GRAM} or more")
     prepare(docs.sparkSession)
     text = blank(F.col("text").cast("string"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("key"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.shiftrightunsigned(F.xxhash64("doc_id", text), 33).alias("key"), text.alias("text"))
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size // BUCKET_BYTES + 4)
     first = rows.mapInArrow(_first_pass(least, buckets), _schema(FIRST))
-    shared = first.groupBy("bucket").applyInArrow(_shared(buckets), _schema(TOLD)).groupBy("part").applyInArrow(_gather(True), _schema(ONE))
+    shared = first.groupBy("at").applyInArrow(_shared(buckets), _schema(TOLD)).groupBy("part").applyInArrow(_gather(True), _schema(ONE))
     pieces = rows.join(shared.hint("merge"), ["id", "key"]).select("id", "key", "text", "data").mapInArrow(_second_pass(least, buckets), _schema(PIECES))
     spans = pieces.groupBy("bucket").applyInArrow(_expand(least, buckets), _schema(TOLD)).groupBy("part").applyInArrow(_gather(False), _schema(ONE))
     joined = rows.join(spans.hint("merge"), ["id", "key"], "left").select("id", "key", "text", "data")

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import suffix
@@ -87,3 +89,14 @@ def test_bits_of_owners_and_buckets():
     assert suffix._owner_bits(4) == 30 and suffix._owner_bits(1 << 24) == 8
     with pytest.raises(ValueError):
         suffix._owner_bits((1 << 24) + 1)
+
+
+def test_a_common_passage_is_sent_once_for_texts_read_together():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(60)) + "a passage that every document of the table has, word for word, at its end" for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(200), pa.int64()), "key": pa.array(range(200), pa.int64()), "text": texts})
+    rows = pa.Table.from_batches(list(suffix._first_pass(50, 4)(iter([batch])))).to_pylist()
+    sent = np.concatenate([np.frombuffer(r["data"], "<u4") for r in rows if r["part"] is None])
+    assert len(np.unique(sent)) == len(sent) and len(sent) < 200 * 20
+    told = [n for r in rows if r["part"] is not None for n in np.frombuffer(suffix._un(r["sizes"]), "<i4").tolist()]
+    assert len(told) == 200 and min(told) >= 8
