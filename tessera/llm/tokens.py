@@ -29,6 +29,8 @@ from tessera.llm.eliasfano import EliasFano
 MAGIC = b"TIDS0001"
 #: Chunks of text whose ids a worker remembers, and the longest of them in bytes.
 CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
+#: Texts that are encoded together.
+TEXTS = 16
 #: ASCII marks that a pre-tokenizer of letters, digits and runs of other marks cuts from the letters before them.
 TAIL = b".,!?;:&*#$%()-"
 #: Bytes of text of a shard, about; a row counts as some bytes more, so that empty texts are bounded too.
@@ -42,7 +44,8 @@ class ChunkEncoder:
 
     Valid for tokenizers that lower-case, and that drop white space and cut letters from a run of marks
     before they split (no added token contains white space or a mark of ``TAIL``): then the ids of a
-    text are those of its chunks in order, and a chunk's are those of its letters and of its tail.
+    text are those of its chunks in order, and a chunk's are those of its letters and of its tail. A run
+    of letters must be one piece for the model, and ASCII must stand for itself.
     ``tests/llm/test_tokens.py`` holds this against whole texts.
     """
 
@@ -52,17 +55,30 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: list[bytes]) -> None:
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)):
+        known, code, size = self.known, self.dtype.char, self.dtype.itemsize
+        other = []
+        for chunk in chunks:
+            # Lower-cased ASCII letters are one piece, as they are: the model takes it without the steps before.
+            if chunk.isalpha() and chunk.islower():
+                ids = [t.id for t in self.model.tokenize(chunk.decode())]
+                known[chunk] = ids[0].to_bytes(size, "little") if len(ids) == 1 else struct.pack(f"<{len(ids)}{code}", *ids)
+            else:
+                other.append(chunk)
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
+            for chunk, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
                 ids = e.ids
-                self.known[chunk] = struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
+                known[chunk] = struct.pack(f"<{len(ids)}{code}", *ids)
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, packed."""
+        """The ids of each text, packed; some texts at a time, whose chunks then stay in the processor's cache."""
+        return [ids for i in range(0, len(texts), TEXTS) for ids in self._packed(texts[i : i + TEXTS])]
+
+    def _packed(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE_CHUNKS:
             self.known = {}
         known = self.known
