@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ RARE_SHARE, RARE_DOCUMENTS, OF_MEDIAN = 0.001, 50, 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of a filter, whatever the benchmark, bits of one page of it, and bits set for an n-gram.
 FILTER_BITS, PAGE_BITS, PROBES = 1 << 25, 1 << 15, 4
-#: Words whose hashes a worker remembers, n-grams it counts before it passes the counts on.
-CACHE, COUNTED = 500_000, 1_000_000
+#: Bytes that are hashed at once, n-grams that a task counts before it passes the counts on.
+STRETCH, COUNTED = 1 << 16, 1_000_000
 
 _MARKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -40,21 +41,41 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_MARKS).split()
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+@lru_cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, the powers of an odd one, and of its inverse modulo 2 ** 64."""
+    byte = np.random.default_rng(42).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
+    ones = np.ones(STRETCH, np.uint64)
+    base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+    return byte, *(np.cumprod(np.concatenate([ones[:1], ones[1:] * np.uint64(x)])) for x in (base, inverse))
 
 
-_hashes = _Hashes()
+def _hashed(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each run of ``raw`` between spaces: differences of the prefix sums of one polynomial."""
+    byte, power, inverse = _powers()
+    text = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[0], (text != 32).view(np.int8), [0]])
+    edge = np.diff(inside)
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if (stop - start).max(initial=0) >= STRETCH - 1:  # no other word is in this stretch
+        return np.array([xxhash.xxh64_intdigest(raw[a:z]) for a, z in zip(start.tolist(), stop.tolist())], np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte[text] * power[: len(text)])])
+    return (sums[stop] - sums[start]) * inverse[start]
 
 
 def read(text: str | None) -> np.ndarray:
-    """The words of a text as 64-bit hashes."""
-    if len(_hashes) > CACHE:
-        _hashes.clear()
-    own = words(text)
-    return np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))
+    """The :func:`words` of a text as 64-bit hashes, a stretch of whole words at a time; words of about ``STRETCH`` bytes and over by XXH64."""
+    raw, out, i = (text or "").lower().encode().translate(_MARKS), [np.zeros(0, np.uint64)], 0
+    while i < len(raw):
+        j = len(raw)
+        if j - i > STRETCH:
+            j = raw.rfind(b" ", i, i + STRETCH)
+            if j <= i:
+                j = raw.find(b" ", i + 1)
+                j = len(raw) if j < 0 else j
+        out.append(_hashed(raw[i:j]))
+        i = j
+    return np.concatenate(out)
 
 
 def codes(t: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
@@ -136,8 +157,13 @@ class Filter:
 
     def may_hold(self, code: np.ndarray) -> np.ndarray:
         """Marks the codes that may be held; all that are held are marked."""
-        at = self.places(code)
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=0)
+        out = np.zeros(len(code), bool)
+        left = np.flatnonzero(self._set(code % np.uint64(FILTER_BITS)))
+        out[left] = self._set(self.places(code[left])).all(axis=0)
+        return out
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _numbers() -> Iterator[int]:
@@ -191,7 +217,7 @@ def pick_seeds(grams: DataFrame, counts: DataFrame, documents: int) -> DataFrame
 
     Only n-grams that occur in the corpus count.
     """
-    found = grams.join(counts, "code")
+    found = settle(grams.join(counts, "code"), "found")
     most = F.greatest(OF_MEDIAN * F.median("docs"), F.lit(RARE_SHARE * documents), F.lit(float(RARE_DOCUMENTS)))
     return found.join(found.groupBy("item").agg(most.alias("most")), "item").where("docs <= most").select("item", "place", "code")
 

@@ -25,6 +25,23 @@ def test_alignment_is_smith_watermans(seed):
     assert decontam.align(a, b)[0] == brute_align(a, b)
 
 
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["a", "b", "ab", "ba", "été", "x,y", "Long" * 9, "z" * 300]) for _ in range(rng.randrange(400))) for _ in range(30)]
+    seen = {}
+    for stretch in (1 << 16, 64):
+        monkeypatch.setattr(decontam, "STRETCH", stretch)
+        decontam._powers.cache_clear()
+        for t in texts:
+            own, hashes = decontam.words(t), decontam.read(t).tolist()
+            assert len(own) == len(hashes)
+            for w, h in zip(own, hashes):
+                assert seen.setdefault((w, stretch if len(w) >= 63 else 0), h) == h
+    decontam._powers.cache_clear()
+    short = {w: h for (w, _), h in seen.items()}
+    assert len(set(short.values())) == len(short) and len(decontam.read(None)) == len(decontam.read(" ,.")) == 0
+
+
 def corpus():
     rng = random.Random(4)
     text = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
