@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions import wordlists as W
 
 
 @dataclass(frozen=True)
@@ -41,10 +44,19 @@ def single(c: Column) -> Column:
     return F.when(c.isNotNull() & (c != ""), F.array(c)).otherwise(F.array().cast("array<string>"))
 
 
-def number_words(comps: Column) -> Column:
-    """``number word`` of the parts of an address that begin with a number."""
-    found = F.transform(comps, lambda x: F.regexp_extract(x, r"^0*([0-9]+[a-z]? +\p{L}{2,})", 1))
-    return F.array_distinct(F.transform(F.filter(found, lambda x: x != ""), lambda x: F.regexp_replace(x, " +", " ")))
+#: A number and the word after it, maybe with a letter between.
+NUMBER_WORD = r"\p{Nd}+[a-z]?\s+(?:[a-z]\s+)?[\p{L}\p{M}]{2,}"
+
+
+def number_words(address: Column) -> Column:
+    """Each ``number word`` of an address, numbers without leading zeros."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(address, F.lit(NUMBER_WORD), F.lit(0)), lambda x: F.regexp_replace(x, r"^0+(?=\p{Nd})", "")))
+
+
+def place_names(parts: Column) -> Column:
+    """Address parts without a digit, in short forms and without words that name no place; three characters or more."""
+    name = lambda x: X.collapse(F.array_join(X.mapped(F.filter(F.split(x, " "), lambda t: ~t.isin(W.PLACE_WORDS)), W.ADDRESS_CANON), " "))
+    return F.array_distinct(F.filter(F.transform(parts, name), lambda x: ~x.rlike(r"\p{Nd}") & (F.length(x) >= 3)))
 
 
 def keyed(df: DataFrame, specs: list[KeySpec], side: str) -> DataFrame:
@@ -58,17 +70,20 @@ def keyed(df: DataFrame, specs: list[KeySpec], side: str) -> DataFrame:
     return df.select("id", "country", F.explode(F.concat(*arrays)).alias("k")).select("id", "country", "k.*").where("key IS NOT NULL AND key <> ''")
 
 
-def capped_key_join(left: DataFrame, right: DataFrame, specs: list[KeySpec], keep: int = 50) -> DataFrame:
+def capped_key_join(left: DataFrame, right: DataFrame, specs: list[KeySpec], keep: int = 50, more: DataFrame | None = None) -> DataFrame:
     """(s1, rec, keys, kscore): pairs that share a key of a country, for each record the ``keep`` most specific.
 
     ``n`` counts the left rows of a key and must not exceed its cap. ``keys`` has the bits of the
     kinds a pair meets by, ``kscore`` the sum over kinds of 1 / least n; ties go to the smaller id.
+    ``more`` is (s1, rec, bit, weight): pairs of other searches, whose weight counts as it is.
     """
     l = keyed(left, specs, "left").withColumn("n", F.count("*").over(Window.partitionBy("country", "bit", "key"))).where("n <= cap")
     r = keyed(right, specs, "right").select(F.col("id").alias("rec"), "country", "bit", "key")
     met = l.select(F.col("id").alias("s1"), "country", "bit", "key", "n").join(r, ["country", "bit", "key"])
     kinds = met.groupBy("s1", "rec", "bit").agg(F.min("n").alias("n"))
-    scored = kinds.groupBy("s1", "rec").agg(F.sum("bit").cast("long").alias("keys"), F.round(F.sum(1 / F.col("n")), 6).alias("kscore"))
+    kinds = kinds.select("s1", "rec", "bit", (1 / F.col("n")).alias("weight"))
+    kinds = kinds if more is None else kinds.unionByName(more)
+    scored = kinds.groupBy("s1", "rec").agg(F.sum("bit").cast("long").alias("keys"), F.round(F.sum("weight"), 6).alias("kscore"))
     return top(scored, "rec", keep, F.desc("kscore"), "s1").drop("rn")
 
 
@@ -101,10 +116,23 @@ def overlap_topk(left: DataFrame, right: DataFrame, tokens: Column, k: int = 15,
     return top(scored, "s1", k, F.desc("score"), "rec")
 
 
-def shared_values(left: DataFrame, right: DataFrame, values: Column, cap: int = 100) -> DataFrame:
-    """(s1, rec) that share one of ``values`` in a country; values of over ``cap`` left rows are left out."""
-    spec = [KeySpec(1, "value", cap, values, values)]
-    return capped_key_join(left, right, spec, 1 << 30).select("s1", "rec")
+def shared_values(left: DataFrame, right: DataFrame, values: Column) -> DataFrame:
+    """(country, value, side, id, links): the rows of each of ``values`` that both sides have in a country.
+
+    A value is a class: every row of side 1 in it is linked to every row of side 2, and ``links``
+    counts those of a row. So no link is left out however many rows share a value, and no product is
+    made; a value is counted before its rows meet the counts. :func:`value_pairs` spells out pairs.
+    """
+    rows = lambda d, n: d.select("country", F.explode(F.array_distinct(values)).alias("value"), F.lit(n).alias("side"), "id")
+    both = rows(left, 1).unionByName(rows(right, 2))
+    counts = both.groupBy("country", "value").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2")).where("n1 > 0 AND n2 > 0")
+    return both.join(counts, ["country", "value"]).select("country", "value", "side", "id", F.when(F.col("side") == 1, F.col("n2")).otherwise(F.col("n1")).alias("links"))
+
+
+def value_pairs(classes: DataFrame) -> DataFrame:
+    """(s1, rec) of :func:`shared_values`, each once: the product of each class, for classes known to be small."""
+    one = classes.where("side = 1").select("country", "value", F.col("id").alias("s1"))
+    return one.join(classes.where("side = 2").select("country", "value", F.col("id").alias("rec")), ["country", "value"]).select("s1", "rec").distinct()
 
 
 def tfidf_knn(left: DataFrame, right: DataFrame, grams: Column, k: int = 5, min_df: int = 2, max_share: float = 0.05, least: float = 0.5) -> DataFrame:
@@ -128,17 +156,44 @@ def tfidf_knn(left: DataFrame, right: DataFrame, grams: Column, k: int = 5, min_
     return top(scored.where(F.col("cos") >= least), "rec", k, F.desc("cos"), "s1")
 
 
-def vector_knn(left: DataFrame, right: DataFrame, part: str, k: int = 5) -> DataFrame:
-    """(s1, rec, cos, rn): the ``k`` right vectors of the highest cosine within ``part``; exact.
+#: Vectors of a block on either side of a comparison.
+BLOCK_VECTORS = 4096
+
 
-    Sides have (id, part, vec). Lengths are taken once; a part's vectors meet in blocks of a join on
-    the part, which splits skewed ones.
+def vector_knn(left: DataFrame, right: DataFrame, k: int = 5) -> DataFrame:
+    """(s1, rec, cos, rn): for each left vector the ``k`` right ones of the highest cosine, itself left out; exact.
+
+    Sides have (id, vec), vectors of one length. Both are cut into blocks; every two blocks are one
+    matrix product, of which each left row's best go on, so what is sorted is ``k`` rows a block.
+    Null vectors and those of length zero have no neighbours. Ties go to the smaller record.
     """
-    size = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    unit = lambda d, name: d.withColumn("size", size(F.col("vec"))).where("size > 0").select(F.col("id").alias(name), part, F.transform("vec", lambda x: x.cast("double") / F.col("size")).alias(f"v_{name}"))
-    dot = F.aggregate(F.zip_with("v_s1", "v_rec", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = unit(left, "s1").join(unit(right, "rec"), part).where("s1 <> rec").select("s1", "rec", F.round(dot, 6).alias("cos"))
-    return top(scored, "s1", k, F.desc("cos"), "rec")
+
+    def cut(d: DataFrame, other: int, own: int, mine: str, theirs: str) -> DataFrame:
+        kept = d.where(F.col("vec").isNotNull()).select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias(mine))
+        return kept.select("*", F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs))
+
+    def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, v = t["id"].to_numpy(), t["vec"].combine_chunks()
+        v = np.asarray(v.flatten()).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+        size = np.sqrt((v * v).sum(axis=1))
+        return ids[size > 0], v[size > 0] / size[size > 0, None]
+
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        (s1, x), (rec, y) = unit(a), unit(b)
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(s1) and len(rec):
+            order = np.argsort(rec)
+            rec, y = rec[order], y[order]
+            cos = np.round(x @ y.T, 6)
+            cos[s1[:, None] == rec[None, :]] = -2
+            best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+            out = [np.repeat(s1, best.shape[1]), rec[best].reshape(-1), np.take_along_axis(cos, best, axis=1).reshape(-1)]
+            out = [c[out[2] > -2] for c in out]
+        return pa.table({"s1": out[0], "rec": out[1], "cos": out[2]})
+
+    m, n = (d.count() // BLOCK_VECTORS + 1 for d in (left, right))
+    pairs = cut(left, n, m, "i", "j").groupBy("i", "j").cogroup(cut(right, m, n, "j", "i").groupBy("i", "j"))
+    return top(pairs.applyInArrow(product, "s1 long, rec long, cos double"), "s1", k, F.desc("cos"), "rec")
 
 
 def union_candidates(tokens: DataFrame, vectors: DataFrame, mode: str, cap: int) -> DataFrame:
@@ -156,47 +211,56 @@ def union_candidates(tokens: DataFrame, vectors: DataFrame, mode: str, cap: int)
 
 
 def standard_specs(regions: bool = True) -> list[KeySpec]:
-    """Key specs over a table with core, core_tok, all_tok, rare, nums, concat, comps, cities, atok, arare, sounds.
+    """Key specs over a table with core, core_tok, all_tok, rare, nums, concat, ad, cities, atok, arare, sounds.
 
-    ``rare`` and ``arare`` are the rarest name and address tokens of a row; the left side uses those,
-    the right side all.
+    The left side uses the rarest tokens of a row, the right side all: ``rare`` two name tokens,
+    ``rare3`` those of three that are not too frequent, ``arare`` those of two address tokens that are
+    rare, ``arare3`` three. ``few_tok`` are the name tokens
+    of a known frequency that is not too high.
     """
     c = F.col
     nums_sig = F.when(F.size("nums") >= 2, F.array(F.array_join(F.array_sort("nums"), " "))).otherwise(F.array().cast("array<string>"))
     prefix = F.when(F.length("concat") >= 6, F.array(F.left("concat", F.lit(7)))).otherwise(F.array().cast("array<string>"))
     few = lambda a: F.when(F.size(a) <= 8, token_pairs(a)).otherwise(F.array().cast("array<string>"))
     return [
-        KeySpec(1, "hs", 100, number_words(c("comps")), number_words(c("comps"))),
+        KeySpec(1, "hs", 100, number_words(c("ad")), number_words(c("ad"))),
         KeySpec(2, "hr", 100, pairs_of(c("nums"), c("rare")), pairs_of(c("nums"), c("all_tok"))),
         KeySpec(4, "core", 100, single(F.array_join(F.array_sort("core_tok"), " ")), single(F.array_join(F.array_sort("core_tok"), " "))),
         KeySpec(8, "nums", 100, nums_sig, nums_sig),
-        KeySpec(16, "ph", 100, pairs_of(c("nums"), c("sounds")), pairs_of(c("nums"), c("sounds"))),
+        KeySpec(16, "ph", 100, pairs_of(c("nums"), c("rare_sounds")), pairs_of(c("nums"), c("sounds"))),
         KeySpec(32, "cat", 100, prefix, prefix),
         KeySpec(64, "cr", 100, pairs_of(c("cities"), c("rare")), pairs_of(c("cities"), c("all_tok"))),
         KeySpec(128, "r", 25, c("rare"), c("all_tok")),
         KeySpec(256, "hc", 100, pairs_of(c("nums"), c("cities")), pairs_of(c("nums"), c("cities"))),
         KeySpec(512, "at", 25, c("arare"), c("atok")),
         KeySpec(1024, "atn", 100, pairs_of(c("arare"), c("nums")), pairs_of(c("atok"), c("nums"))),
-        KeySpec(2048, "rp", 30, token_pairs(c("rare")), few(c("all_tok"))),
-        KeySpec(4096, "atc", 100, pairs_of(c("arare"), c("cities")), pairs_of(c("atok"), c("cities"))),
+        KeySpec(2048, "rp", 30, token_pairs(c("rare3")), few(c("few_tok"))),
+        KeySpec(4096, "atc", 100, pairs_of(c("arare3"), c("cities")), pairs_of(c("atok"), c("cities"))),
     ]
 
 
-def french_streets(comps: Column) -> tuple[Column, Column, Column]:
-    """(number first-word, first and last words, number last-word) of street lines, passing over street types."""
-    from tessera.functions.wordlists import FRENCH_SKIP
+#: A number and the first word after it that names the street; the start of a street line, by its number and by its kind.
+FRENCH_NUMBER_WORD = rf"\p{{Nd}}+[a-z]?\s+(?:(?:{'|'.join(W.FRENCH_SKIP)})\s+)*[\p{{L}}\p{{M}}]{{2,}}"
+FRENCH_NUMBERED = r"^(?:no?\s+)?0*(\p{Nd}+)"
+FRENCH_TYPED = rf"^(?:no?\s+)?\p{{Nd}}*[a-z]?\s*(?:{'|'.join(W.FRENCH_TYPES)})( |$|[^\p{{L}}\p{{M}}\p{{N}}_])"
 
-    line = F.filter(comps, lambda x: x.rlike("^[0-9]"))
-    number = lambda x: F.regexp_extract(x, "^0*([0-9]+)", 1)
-    names = lambda x: F.filter(F.split(x, " "), lambda w: w.rlike(r"^[\p{L}\p{M}]{3,}$") & ~w.isin(FRENCH_SKIP))
-    first = lambda x: F.get(names(x), F.lit(0))
-    end = lambda x: F.get(names(x), F.size(names(x)) - 1)
-    known = lambda a: F.filter(a, lambda x: x.isNotNull())
-    return known(F.transform(line, lambda x: F.concat(number(x), F.lit(" "), first(x)))), known(F.flatten(F.transform(line, lambda x: F.array(first(x), end(x))))), known(F.transform(line, lambda x: F.concat(number(x), F.lit(" "), end(x))))
+
+def french_streets(address: Column, parts: Column) -> tuple[Column, Column, Column]:
+    """(number first-word, first and last words, number last-word) of street lines, passing over kinds of street and articles.
+
+    A line is a part of the address with a number at its start or a kind of street.
+    """
+    first = F.transform(F.regexp_extract_all(address, F.lit(FRENCH_NUMBER_WORD), F.lit(0)), lambda x: F.concat(F.regexp_extract(x, r"^0*(\p{Nd}+)", 1), F.lit(" "), F.element_at(F.split(x, r"\s+"), -1)))
+    line = F.filter(parts, lambda x: x.rlike(FRENCH_NUMBERED) | x.rlike(FRENCH_TYPED))
+    names = lambda x: F.filter(F.split(x, " "), lambda w: w.rlike(r"^[\p{L}\p{M}]{3,}$") & ~w.isin([*W.FRENCH_SKIP, *W.FRENCH_NUMBER]))
+    told = F.filter(F.transform(line, lambda x: F.struct(F.nullif(F.regexp_extract(x, FRENCH_NUMBERED, 1), F.lit("")).alias("number"), names(x).alias("names"))), lambda x: F.size(x["names"]) > 0)
+    ends = F.flatten(F.transform(told, lambda x: F.array(F.get(x["names"], F.lit(0)), F.element_at(x["names"], -1))))
+    last = F.transform(F.filter(told, lambda x: x["number"].isNotNull()), lambda x: F.concat(x["number"], F.lit(" "), F.element_at(x["names"], -1)))
+    return F.array_distinct(first), F.array_distinct(ends), F.array_distinct(last)
 
 
 def french_specs() -> list[KeySpec]:
-    by_first, names, by_last = french_streets(F.col("comps"))
+    by_first, names, by_last = french_streets(F.col("ad"), F.col("parts"))
     here = F.col("country") == "fr"
     return [
         KeySpec(16384, "hsf", 100, by_first, by_first, here),
@@ -205,29 +269,46 @@ def french_specs() -> list[KeySpec]:
     ]
 
 
-def key_parts(norm: DataFrame, rare: DataFrame, arare: DataFrame, regions: DataFrame, sounds: bool = True) -> DataFrame:
-    """What key specs draw on, by row; the metaphones are taken once for each distinct token."""
-    gather = lambda d, name: d.groupBy("id").agg(F.array_sort(F.collect_set("tok")).alias(name))
+#: A name token of a pair is in so many rows of its country at most, an address token that is a key in so many.
+PAIR_FREQUENCY, ADDRESS_FREQUENCY = 20_000, 300
+
+
+def key_parts(norm: DataFrame, freq: DataFrame, afreq: DataFrame, regions: DataFrame) -> DataFrame:
+    """What key specs draw on, by row: ``norm`` with lists of tokens by their frequencies (country, tok, freq).
+
+    Frequencies of a row's tokens come by one join for names and one for addresses; ranks are taken in
+    the row's own arrays.
+    """
     empty = F.array().cast("array<string>")
-    out = norm.join(gather(rare, "rare"), "id", "left").join(gather(arare, "arare"), "id", "left").join(regions.select("id", F.col("rest").alias("parts")), "id", "left")
-    out = out.withColumn("rare", F.coalesce("rare", empty)).withColumn("arare", F.coalesce("arare", empty))
-    out = out.withColumn("all_tok", F.array_distinct(F.concat("core_tok", "alias_tok"))).withColumn("atok", address_tokens(F.coalesce("parts", empty)))
-    out = out.withColumn("cities", F.filter(F.coalesce("parts", empty), lambda x: ~x.rlike("[0-9]") & (F.length(x) >= 3)))
-    return out.withColumn("sounds", empty)
+    out = norm.join(regions.select("id", F.col("rest").alias("parts")), "id", "left").withColumn("parts", F.coalesce("parts", empty))
+    out = out.withColumn("all_tok", F.array_distinct(F.concat("core_tok", "alias_tok"))).withColumn("atok", address_tokens(F.col("parts"))).withColumn("ad", F.array_join("parts", " "))
+
+    def ranked(column: str, tokens: Column, table: DataFrame) -> DataFrame:
+        each = out.select("id", "country", F.explode(tokens).alias("tok")).join(table, ["country", "tok"])
+        return each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "tok"))).alias(column))
+
+    out = out.join(ranked("ftok", F.col("all_tok"), freq), "id", "left").join(ranked("fatok", F.col("atok"), afreq), "id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.array().cast("array<struct<freq:bigint,tok:string>>")) for c in ("ftok", "fatok")})
+    names = lambda column, k, most=None: F.array_sort(F.transform(F.filter(F.slice(column, 1, k), lambda x: F.lit(True) if most is None else x["freq"] <= most), lambda x: x["tok"]))
+    out = out.withColumn("own", F.filter("ftok", lambda x: F.array_contains("core_tok", x["tok"])))
+    return out.withColumns({
+        "rare": names("own", 2), "rare3": names("own", 3, PAIR_FREQUENCY), "arare": names("fatok", 2, ADDRESS_FREQUENCY), "arare3": names("fatok", 3),
+        "few_tok": F.transform(F.filter("ftok", lambda x: x["freq"] <= PAIR_FREQUENCY), lambda x: x["tok"]), "cities": place_names(F.col("parts")), "sounds": empty, "rare_sounds": empty,
+    }).drop("ftok", "fatok", "own")
 
 
 def address_tokens(parts: Column) -> Column:
     """Short forms of the words of an address, three letters or more, each once."""
-    from tessera.functions.wordlists import ADDRESS_CANON
-
-    return F.array_distinct(F.filter(X.mapped(F.flatten(F.transform(parts, lambda x: F.split(x, " "))), ADDRESS_CANON), lambda x: x.rlike(r"^\p{L}{3,}$")))
+    return F.array_distinct(F.filter(X.mapped(F.flatten(F.transform(parts, lambda x: F.split(x, " "))), W.ADDRESS_CANON), lambda x: x.rlike(r"^\p{L}{3,}$")))
 
 
 def add_sounds(parts: DataFrame) -> DataFrame:
-    """Fill ``sounds`` of :func:`key_parts` with the metaphones of ASCII tokens of three letters or more."""
+    """Fill ``sounds`` and ``rare_sounds`` of :func:`key_parts`: metaphones of ASCII name tokens of three letters or more, of all and of the rarest."""
     from tessera.functions.kernels import metaphone
 
-    toks = parts.select("id", F.explode("all_tok").alias("tok")).where("tok rlike '^[a-z]{3,}$'")
+    toks = parts.select("id", F.explode("all_tok").alias("tok"), "rare").where("tok rlike '^[a-z]{3,}$'")
     codes = toks.select("tok").distinct().withColumn("code", metaphone(F.col("tok")))
-    lists = toks.join(codes, "tok").where("code <> ''").groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    return parts.drop("sounds").join(lists, "id", "left").withColumn("sounds", F.coalesce("codes", F.array().cast("array<string>"))).drop("codes")
+    lists = toks.join(codes, "tok").where("code <> ''").groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.array_sort(F.collect_set(F.when(F.array_contains("rare", F.col("tok")), F.col("code")))).alias("rare_codes"))
+    none = F.array().cast("array<string>")
+    out = parts.drop("sounds", "rare_sounds").join(lists, "id", "left")
+    return out.withColumn("sounds", F.coalesce("codes", none)).withColumn("rare_sounds", F.coalesce("rare_codes", none)).drop("codes", "rare_codes")

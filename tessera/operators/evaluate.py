@@ -23,9 +23,9 @@ def per_entity(ids: DataFrame, truth: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def report(scores: DataFrame, by: str | None = None) -> DataFrame:
-    """Macro F, precision and recall, totals and the loss of each kind; an entity's loss goes to one kind."""
+    """Macro F, precision and recall, totals and the loss of each kind; an entity's loss goes to one kind; it is missed whole only where nothing is matched."""
     tp, n_pred, n_true = F.col("tp"), F.col("n_pred"), F.col("n_true")
-    kind = F.when((n_true == 0) & (n_pred > 0), KINDS[0]).when((n_true > 0) & (tp == 0), KINDS[1]).when(tp < n_pred, KINDS[2]).when(tp < n_true, KINDS[3])
+    kind = F.when((n_true == 0) & (n_pred > 0), KINDS[0]).when((n_true > 0) & (n_pred == 0), KINDS[1]).when(tp < n_pred, KINDS[2]).when(tp < n_true, KINDS[3])
     s = scores.withColumn("kind", kind)
     aggs = [
         F.count("*").alias("n"), F.round(F.avg("f"), 6).alias("macro_f"),

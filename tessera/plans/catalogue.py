@@ -104,9 +104,9 @@ def sink_result_lists(spark, sf):
 # Text
 
 
-@query(w(S.NORM, "SELECT id, core, coalesce(alias, '') AS alias, has_alias, is_web, concat FROM nm"))
+@query(w(S.NORM, "SELECT id, core, coalesce(alias, '') AS alias, has_alias, is_web, is_indic, concat FROM nm"))
 def text_core_alias_flags(spark, sf):
-    return norm(spark, sf).select("id", "core", F.coalesce("alias", F.lit("")).alias("alias"), "has_alias", "is_web", "concat")
+    return norm(spark, sf).select("id", "core", F.coalesce("alias", F.lit("")).alias("alias"), "has_alias", "is_web", "is_indic", "concat")
 
 
 @query(w(S.NORM, "SELECT id, array_to_string(core_tok, '|') AS tokens, array_to_string(alias_tok, '|') AS alias_tokens, len(core_tok) AS n FROM nm"))
@@ -140,7 +140,8 @@ def text_ascii_fold(spark, sf):
 
 
 _UNI = S.sub("lower(trim(name))", "(^|[^a-z0-9])www[.]", r"\1")
-_UNI = S.sub(_UNI, "([a-z0-9])[.](com|net|org|co|io|biz|info|in)($|[^a-z0-9])", r"\1\3")
+for _ in range(2):  # the character after one web ending may be the dot of the next
+    _UNI = S.sub(_UNI, "([a-z0-9])[.](com|net|org|co|io|biz|info|in)($|[^a-z0-9])", r"\1\3")
 _UNI = f"regexp_replace(trim({S.sub(_UNI, chr(92) + 's+', ' ')}), '^[\\s!-/:-@\\[-`{{-~]+', '')"
 _TOK = f"list_transform({S.keep(f"string_split_regex({_UNI}, '[\\s!-/:-@\\[-^`{{-~]+')")}, lambda x: coalesce({S.mapping(W.LEGAL_CANON)}[x], x))"
 
@@ -171,10 +172,10 @@ def text_initials(spark, sf):
     return norm(spark, sf).select("id", X.initials(F.col("core_tok")).alias("initials"))
 
 
-@query("SELECT page_id, regexp_matches(lower(url), '([.]com|[.]net|[.]org|[.]in($|[^a-z0-9])|www[.]|^\\s*[@#]|\\s[@#]\\w)') AS is_web, array_to_string(regexp_extract_all(url, '[0-9]{5,6}'), ',') AS codes FROM pages")
+@query(f"SELECT page_id, {S.is_web('url')} AS is_web, array_to_string(regexp_extract_all(url, '[0-9]{{5,6}}'), ',') AS codes, replace(url, '.com', ' com ') AS spelt FROM pages")
 def text_web_flags(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    return pages.select("page_id", X.is_web(F.col("url")).alias("is_web"), joined(F.regexp_extract_all("url", F.lit("[0-9]{5,6}"), F.lit(0)), ",").alias("codes"))
+    return pages.select("page_id", X.is_web(F.col("url")).alias("is_web"), joined(F.regexp_extract_all("url", F.lit("[0-9]{5,6}"), F.lit(0)), ",").alias("codes"), X.spell_domain(F.col("url")).alias("spelt"))
 
 
 @query(None)
@@ -188,9 +189,17 @@ def text_transliterate(spark, sf):
     return src.entities(spark, sf).select("id", K.transliterate(F.col("name")).alias("latin"))
 
 
-@query(w(S.NORM, "SELECT (SELECT count(*) FROM ent) AS n_before, (SELECT count(*) FROM nm) AS n_after, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained"))
+_LOST = "(SELECT count(*) FROM (SELECT id FROM ent EXCEPT ALL SELECT id FROM {0}))"
+_GAINED = "(SELECT count(*) FROM (SELECT id FROM {0} EXCEPT ALL SELECT id FROM ent))"
+_BROKEN = "SELECT id FROM nm WHERE id % 7 <> 3 UNION ALL SELECT id FROM nm WHERE id % 5 = 0 UNION ALL SELECT -id - 1 FROM nm WHERE src = 2"
+
+
+@query(w(S.NORM, f", broken AS ({_BROKEN})\n" + " UNION ALL ".join(f"SELECT '{n}' AS step, (SELECT count(*) FROM ent) AS n_before, (SELECT count(*) FROM {t}) AS n_after, {_LOST.format(t)} AS lost, {_GAINED.format(t)} AS gained" for n, t in (("normalize", "nm"), ("broken", "broken")))).replace("\n, broken", ",\nbroken"))
 def text_row_integrity(spark, sf):
-    return N.row_integrity(src.entities(spark, sf), norm(spark, sf))
+    """The check on the normalised table, and on one that lost, repeated and made up rows."""
+    before, after = src.entities(spark, sf), norm(spark, sf).select("id", "src")
+    broken = after.where("id % 7 <> 3").unionByName(after.where("id % 5 = 0")).unionByName(after.where("src = 2").withColumn("id", -F.col("id") - 1))
+    return N.row_integrity(before, after).withColumn("step", F.lit("normalize")).unionByName(N.row_integrity(before, broken).withColumn("step", F.lit("broken")))
 
 
 # Statistics
@@ -280,11 +289,19 @@ _KEYPARTS = f"""{S.FREQ}, {S.REGIONS[len(S.NORM) + 2 :]},
 atoks AS (SELECT id, country, list_distinct(list_filter(list_transform(string_split(array_to_string(rest, ' '), ' '), lambda x: coalesce({S.mapping(W.ADDRESS_CANON)}[x], x)), lambda x: regexp_matches(x, '^\\p{{L}}{{3,}}$'))) AS atok FROM regions),
 aex AS (SELECT id, country, unnest(atok) AS tok FROM atoks),
 afreq AS (SELECT country, tok, count(*) AS freq FROM aex GROUP BY ALL),
-arares AS (SELECT id, list_sort(list(tok)) AS arare FROM (SELECT id, tok, row_number() OVER (PARTITION BY id ORDER BY freq, tok) AS rn FROM aex JOIN afreq USING (country, tok)) WHERE rn <= 2 GROUP BY id),
-rares AS (SELECT id, list_sort(list(tok)) AS rare FROM rare GROUP BY id),
-kp AS (SELECT nm.*, list_distinct(list_concat(core_tok, alias_tok)) AS all_tok, coalesce(rare, []) AS rare, coalesce(arare, []) AS arare, atok,
-  list_filter(rest, lambda x: NOT regexp_matches(x, '[0-9]') AND length(x) >= 3) AS cities FROM nm JOIN regions ON regions.id = nm.id JOIN atoks ON atoks.id = nm.id LEFT JOIN rares ON rares.id = nm.id LEFT JOIN arares ON arares.id = nm.id)"""
-_HS = "list_transform(list_filter(list_transform(comps, lambda x: regexp_extract(x, '^0*([0-9]+[a-z]? +\\p{L}{2,})', 1)), lambda x: x <> ''), lambda x: regexp_replace(x, ' +', ' ', 'g'))"
+arares AS (SELECT id, list_sort(list(tok) FILTER (rn <= 2 AND freq <= 300)) AS arare, list_sort(list(tok)) AS arare3 FROM (SELECT id, tok, freq, row_number() OVER (PARTITION BY id ORDER BY freq, tok) AS rn FROM aex JOIN afreq USING (country, tok)) WHERE rn <= 3 GROUP BY id),
+rares AS (SELECT id, list_sort(list(tok) FILTER (rn <= 2)) AS rare, list_sort(list(tok) FILTER (freq <= 20000)) AS rare3 FROM (SELECT id, tok, freq, row_number() OVER (PARTITION BY id ORDER BY freq, tok) AS rn FROM tokens JOIN freq USING (country, tok)) WHERE rn <= 3 GROUP BY id),
+alls AS (SELECT id, country, unnest(list_distinct(list_concat(core_tok, alias_tok))) AS tok FROM nm),
+fews AS (SELECT id, list(tok) AS few_tok FROM alls JOIN freq USING (country, tok) WHERE freq <= 20000 GROUP BY id),
+places AS (SELECT id, list_distinct(list_filter(list_transform(rest, lambda p: trim(regexp_replace(array_to_string(list_transform(list_filter(string_split(p, ' '), lambda t: NOT list_contains({S.quoted(W.PLACE_WORDS)}, t)), lambda t: coalesce({S.mapping(W.ADDRESS_CANON)}[t], t)), ' '), '\\s+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '\\p{{Nd}}') AND length(x) >= 3)) AS cities FROM regions),
+kp AS (SELECT nm.*, list_distinct(list_concat(core_tok, alias_tok)) AS all_tok, coalesce(few_tok, []) AS few_tok, array_to_string(rest, ' ') AS ad, rest AS parts, coalesce(rare, []) AS rare, coalesce(rare3, []) AS rare3, coalesce(arare, []) AS arare, coalesce(arare3, []) AS arare3, atok,
+  cities FROM nm JOIN places ON places.id = nm.id JOIN regions ON regions.id = nm.id JOIN atoks ON atoks.id = nm.id LEFT JOIN rares ON rares.id = nm.id LEFT JOIN arares ON arares.id = nm.id LEFT JOIN fews ON fews.id = nm.id)"""
+_HS = f"list_transform(regexp_extract_all(ad, '{B.NUMBER_WORD}'), lambda x: regexp_replace(x, '^0+(\\p{{Nd}})', '\\1'))"
+_FIRST = f"list_transform(regexp_extract_all(ad, '{B.FRENCH_NUMBER_WORD}'), lambda x: regexp_extract(x, '^0*(\\p{{Nd}}+)', 1) || ' ' || string_split(x, ' ')[-1])"
+_LINES = f"list_filter(parts, lambda x: regexp_matches(x, '{B.FRENCH_NUMBERED}') OR regexp_matches(x, '{B.FRENCH_TYPED}'))"
+_NAMES = f"list_filter(string_split(x, ' '), lambda t: regexp_full_match(t, '[\\p{{L}}\\p{{M}}]{{3,}}') AND NOT list_contains({S.quoted([*W.FRENCH_SKIP, *W.FRENCH_NUMBER])}, t))"
+_ENDS = f"list_filter(flatten(list_transform({_LINES}, lambda x: [{_NAMES}[1], {_NAMES}[-1]])), lambda x: x IS NOT NULL)"
+_LAST = f"list_filter(list_transform({_LINES}, lambda x: nullif(regexp_extract(x, '{B.FRENCH_NUMBERED}', 1), '') || ' ' || {_NAMES}[-1]), lambda x: x IS NOT NULL)"
 _CORE = "[array_to_string(list_sort(core_tok), ' ')]"
 _SIG = "CASE WHEN len(nums) >= 2 THEN [array_to_string(list_sort(nums), ' ')] ELSE [] END"
 _PRE = "CASE WHEN length(concat) >= 6 THEN [left(concat, 7)] ELSE [] END"
@@ -299,18 +316,22 @@ _SPECS = {
     "hc": (256, 100, _cross("nums", "cities"), _cross("nums", "cities")),
     "at": (512, 25, "arare", "atok"),
     "atn": (1024, 100, _cross("arare", "nums"), _cross("atok", "nums")),
-    "rp": (2048, 30, _duos("rare"), f"CASE WHEN len(all_tok) <= 8 THEN {_duos('all_tok')} ELSE [] END"),
-    "atc": (4096, 100, _cross("arare", "cities"), _cross("atok", "cities")),
+    "rp": (2048, 30, _duos("rare3"), f"CASE WHEN len(few_tok) <= 8 THEN {_duos('few_tok')} ELSE [] END"),
+    "atc": (4096, 100, _cross("arare3", "cities"), _cross("atok", "cities")),
 }
 
 
+def _here(e: str) -> str:
+    return f"CASE WHEN country = 'fr' THEN {e} ELSE [] END"
+
+
+_FRENCH = {"hsf": (16384, 100, *[_here(_FIRST)] * 2), "sfc": (32768, 100, *[_here(_cross(_ENDS, "cities"))] * 2), "hsfl": (65536, 100, *[_here(_LAST)] * 2)}
+
+
 def key_parts(spark: SparkSession, sf: str) -> DataFrame:
-    # Six branches start from the normalised table; a lost part is computed anew.
-    n = norm(spark, sf).persist()
+    n = norm(spark, sf)
     r = regions(n)
-    a = r.select("id", "country", B.address_tokens(F.col("rest")).alias("atok"))
-    arare = N.rare_tokens(a, N.token_frequency(a, "atok"), "atok")
-    return B.key_parts(n, N.rare_tokens(n, N.token_frequency(n)), arare, r)
+    return B.key_parts(n, N.token_frequency(n), N.token_frequency(r.select("id", "country", B.address_tokens(F.col("rest")).alias("atok")), "atok"), r)
 
 
 def _key_query(name: str, kinds: tuple[str, ...]) -> None:
@@ -324,18 +345,30 @@ def _key_query(name: str, kinds: tuple[str, ...]) -> None:
 
 for _name, _kinds in {
     "keys_core": ("core",), "keys_number_token": ("hr",), "keys_number_word": ("hs",), "keys_number_signature": ("nums",), "keys_prefix": ("cat",), "keys_city_token": ("cr",), "keys_rare_token": ("r",),
-    "keys_number_city": ("hc",), "keys_address_token": ("at",), "keys_address_token_number": ("atn",), "keys_token_pair": ("rp",), "keys_address_token_city": ("atc",), "keys_all": tuple(_SPECS),
+    "keys_number_city": ("hc",), "keys_address_token": ("at",), "keys_address_token_number": ("atn",), "keys_token_pair": ("rp",), "keys_address_token_city": ("atc",), "keys_in_sql": tuple(_SPECS),
 }.items():
     _key_query(_name, _kinds)
 
 
+def no_numbers(n: DataFrame) -> DataFrame:
+    return n.where(F.size("nums") == 0)
+
+
+@query(None)
+def keys_all(spark, sf):
+    """Keys of every kind together: those that SQL can say, metaphones, French streets, and names by TF-IDF for records without numbers."""
+    parts = B.add_sounds(key_parts(spark, sf))
+    near = B.tfidf_knn(one(parts), no_numbers(rest(parts)), padded_grams()).select("s1", "rec", F.lit(8192).alias("bit"), F.col("cos").alias("weight"))
+    return B.capped_key_join(one(parts), rest(parts), [*B.standard_specs(), *B.french_specs()], 50, near)
+
+
 @query(None)
 def keys_metaphone(spark, sf):
     parts = B.add_sounds(key_parts(spark, sf))
     return B.capped_key_join(one(parts), rest(parts), [s for s in B.standard_specs() if s.name == "ph"])
 
 
-@query(None)
+@query(capped_sql(_KEYPARTS, list(_FRENCH.values())))
 def keys_french(spark, sf):
     parts = key_parts(spark, sf)
     return B.capped_key_join(one(parts), rest(parts), B.french_specs())
@@ -407,15 +440,15 @@ def join_tfidf_text_topk(spark, sf):
     return found.select(F.col("rec").alias("s1"), F.col("s1").alias("rec"), "cos", F.col("rn").cast("long").alias("rn"))
 
 
-_VEC = """v AS (SELECT vec_id AS id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS vec FROM embeddings),
-sc AS (SELECT a.id AS s1, b.id AS rec, round(list_cosine_similarity(a.vec, b.vec), 6) AS cos FROM v a JOIN v b USING (label) WHERE a.id % 20 = 0 AND a.id <> b.id),
+_VEC = """v AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS vec FROM embeddings),
+sc AS (SELECT a.id AS s1, b.id AS rec, round(list_cosine_similarity(a.vec, b.vec), 6) AS cos FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0),
 kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY cos DESC, rec) AS rn FROM sc) WHERE rn <= 5)"""
 
 
 def vector_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """The stated query set, ids divisible by 20, against all vectors of their label."""
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
-    return B.vector_knn(v.where("id % 20 = 0"), v, "label", 5)
+    """The stated query set, ids divisible by 20, against all vectors."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return B.vector_knn(v.where("id % 20 = 0"), v, 5)
 
 
 @query(f"WITH {_VEC} SELECT s1, rec, cos, rn FROM kn")
@@ -423,48 +456,53 @@ def join_vector_knn(spark, sf):
     return vector_neighbours(spark, sf).withColumn("rn", F.col("rn").cast("long"))
 
 
-_NUMS5 = "list_filter(nums, lambda x: length(x) >= 3)"
+def _shared_sql(condition: str) -> str:
+    return w(S.NORM, f""", v AS (SELECT DISTINCT id, country, CASE WHEN src = 1 THEN 1 ELSE 2 END AS side, unnest(list_filter(nums, lambda x: {condition})) AS value FROM nm),
+c AS (SELECT country, value, count_if(side = 1) AS n1, count_if(side = 2) AS n2 FROM v GROUP BY 1, 2)
+SELECT country, value, CAST(side AS INTEGER) AS side, id, CAST(CASE WHEN side = 1 THEN n2 ELSE n1 END AS BIGINT) AS links FROM v JOIN c USING (country, value) WHERE n1 > 0 AND n2 > 0""").replace("\n, v AS", ",\nv AS")
 
 
-@query(w(S.NORM, f""", a AS (SELECT *, count(*) OVER (PARTITION BY country, v) AS n FROM (SELECT id AS s1, country, unnest({_NUMS5}) AS v FROM nm WHERE src = 1)),
-b AS (SELECT id AS rec, country, unnest({_NUMS5}) AS v FROM nm WHERE src > 1)
-SELECT DISTINCT s1, rec FROM a JOIN b USING (country, v) WHERE n <= 100""").replace("\n, a AS", ",\na AS"))
-def join_shared_number(spark, sf):
+@query(_shared_sql("regexp_full_match(x, '[0-9]{5,6}')"))
+def join_shared_code(spark, sf):
+    """Rows that share a code of five or six digits: all of them, by class."""
     n = norm(spark, sf)
-    return B.shared_values(one(n), rest(n), F.filter("nums", lambda x: F.length(x) >= 3))
+    return B.shared_values(one(n), rest(n), F.filter("nums", lambda x: x.rlike("^[0-9]{5,6}$")))
+
+
+@query(_shared_sql("length(x) >= 5"))
+def join_shared_long_number(spark, sf):
+    n = norm(spark, sf)
+    return B.shared_values(one(n), rest(n), F.filter("nums", lambda x: F.length(x) >= 5))
 
 
 _UNION = """, tk AS (SELECT s1, rec, round(score / max(score) OVER (PARTITION BY s1), 6) AS token FROM cand),
-kx AS (SELECT s1, rec, cos FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY cos DESC, rec) AS rn2 FROM (SELECT c.s1, c.rec, round({lev}, 6) AS cos FROM cand c JOIN nm s ON s.id = c.s1 JOIN nm r ON r.id = c.rec)) WHERE rn2 <= 4)),
-un AS (SELECT coalesce(tk.s1, kx.s1) AS s1, coalesce(tk.rec, kx.rec) AS rec, coalesce(token, 0.0) AS token, coalesce(cos, 0.0) AS cos, token IS NOT NULL AS t, cos IS NOT NULL AS v FROM (SELECT * FROM tk WHERE token >= 0.5) tk FULL JOIN kx ON tk.s1 = kx.s1 AND tk.rec = kx.rec),
+kx AS (SELECT s1, rec, cos FROM ({second})),
+un AS (SELECT coalesce(tk.s1, kx.s1) AS s1, coalesce(tk.rec, kx.rec) AS rec, coalesce(token, 0.0) AS token, coalesce(cos, 0.0) AS cos, token IS NOT NULL AS t, cos IS NOT NULL AS v FROM tk FULL JOIN kx ON tk.s1 = kx.s1 AND tk.rec = kx.rec),
 us AS (SELECT s1, rec, token, cos, {score} AS score FROM un)
 SELECT s1, rec, token, cos, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, cos DESC, rec) AS rn FROM us) WHERE rn <= {cap}"""
 
 
 def _union_sql(score: str, cap: int) -> str:
-    return w(S.BAG, _UNION.replace("{lev}", S.lev("s.core", "r.core")).replace("{score}", score).replace("{cap}", str(cap))).replace("\n, tk", ",\ntk")
+    head, tail = ORACLES["join_tfidf_text_topk"][len("WITH ") + len(S.NORM) :].rsplit("\nSELECT", 1)
+    return w(S.BAG + head, _UNION.replace("{second}", f"SELECT{tail}").replace("{score}", score).replace("{cap}", str(cap))).replace("\n, tk", ",\ntk")
 
 
 def two_searches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates by tokens, and by a similarity, each with its own score."""
+    """Candidates of two searches that do not know of each other: by shared tokens, and by the cosine of name and address."""
     from pyspark.sql import Window
 
-    n = norm(spark, sf)
-    cand = candidates(n)
-    t = cand.select("s1", "rec", F.round(F.col("score") / F.max("score").over(Window.partitionBy("s1")), 6).alias("token")).where("token >= 0.5")
-    name = lambda key, out: n.select(F.col("id").alias(key), F.col("core").alias(out))
-    v = cand.select("s1", "rec").join(name("s1", "a"), "s1").join(name("rec", "b"), "rec").select("s1", "rec", F.round(K.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("cos"))
-    return t, B.top(v, "s1", 4, F.desc("cos"), "rec").drop("rn")
+    t = candidates(norm(spark, sf)).select("s1", "rec", F.round(F.col("score") / F.max("score").over(Window.partitionBy("s1")), 6).alias("token"))
+    return t, join_tfidf_text_topk(spark, sf).select("s1", "rec", "cos")
 
 
-@query(_union_sql("round(0.5 * token + cos, 6)", 8))
+@query(_union_sql("round(0.5 * token + cos, 6)", 80))
 def join_union_fused(spark, sf):
-    return B.union_candidates(*two_searches(spark, sf), "fused", 8).withColumn("rn", F.col("rn").cast("long"))
+    return B.union_candidates(*two_searches(spark, sf), "fused", 80).withColumn("rn", F.col("rn").cast("long"))
 
 
-@query(_union_sql("CASE WHEN t AND v THEN 3.0 WHEN t THEN 2.0 ELSE 1.0 END::DOUBLE", 6))
+@query(_union_sql("CASE WHEN t AND v THEN 3.0 WHEN t THEN 2.0 ELSE 1.0 END::DOUBLE", 150))
 def join_union_priority(spark, sf):
-    return B.union_candidates(*two_searches(spark, sf), "priority", 6).withColumn("rn", F.col("rn").cast("long"))
+    return B.union_candidates(*two_searches(spark, sf), "priority", 150).withColumn("rn", F.col("rn").cast("long"))
 
 
 @query(w(S.SCORED, "SELECT t.s1, t.rec FROM truth t ANTI JOIN cand c ON t.s1 = c.s1 AND t.rec = c.rec"))
@@ -482,9 +520,9 @@ def join_found_truth(spark, sf):
 
 _FLAG = "CAST(coalesce({}, false) AS INTEGER)"
 _DICE = f"CASE WHEN length(s_core) >= 3 AND length(r_core) >= 3 THEN 2 * len(list_intersect({S.grams('s_core')}, {S.grams('r_core')})) / (len({S.grams('s_core')}) + len({S.grams('r_core')})) ELSE 0.0 END"
-_NEAR = "list_filter([" + ", ".join(f"levenshtein(s_nums[{i}], r_nums[{j}])" for i in (1, 2, 3) for j in (1, 2, 3)) + "], lambda x: x IS NOT NULL)"
+_NEAR = "list_filter([" + ", ".join(f"levenshtein({S.digit_bytes(f's_nums[{i}]')}, {S.digit_bytes(f'r_nums[{j}]')})" for i in (1, 2, 3) for j in (1, 2, 3)) + "], lambda x: x IS NOT NULL)"
 _AFFIX = "(length({0}) = length({1}) + 1 AND (substr({0}, 2) = {1} OR left({0}, length({1})) = {1}))"
-_NUM = "CAST(left({}, 9) AS BIGINT)"
+_NUM = "TRY_CAST(left({}, 9) AS BIGINT)"
 _INIT = "array_to_string(list_transform({}, lambda x: left(x, 1)), '')"
 
 
@@ -492,9 +530,9 @@ _INIT = "array_to_string(list_transform({}, lambda x: left(x, 1)), '')"
  round(abs(length(s_core) - length(r_core)) / greatest(length(s_core), length(r_core), 1), 6) AS n_len_diff, len(list_intersect(s_tok, r_all)) AS n_tok_inter, round({S._jaccard("s_tok", "r_all")}, 6) AS n_tok_jacc,
  round(CASE WHEN least(len(list_distinct(s_tok)), len(list_distinct(r_tok))) > 0 THEN len(list_intersect(s_tok, r_tok)) / least(len(list_distinct(s_tok)), len(list_distinct(r_tok))) ELSE 0.0 END, 6) AS n_contain,
  {_FLAG.format("s_tok[1] = r_tok[1]")} AS n_first_eq, len(s_tok) AS n_len_s1, len(r_tok) AS n_len_rec, len(list_intersect(s_nums, r_nums)) AS num_inter, round({S._jaccard("s_nums", "r_nums")}, 6) AS num_jacc,
- {_FLAG.format("len(s_nums) > 0 AND len(r_nums) > 0 AND len(list_intersect(s_nums, r_nums)) = 0")} AS num_conflict, {_FLAG.format("a = b")} AS hnum_eq, {_FLAG.format("list_contains(r_nums, a)")} AS hnum_in_other, {_FLAG.format("s_street = r_street")} AS street_eq,
+ {_FLAG.format("len(s_nums) > 0 AND len(r_nums) > 0 AND len(list_intersect(s_nums, r_nums)) = 0")} AS num_conflict, {_FLAG.format("a = b")} AS hnum_eq, CAST(coalesce(list_contains(r_nums, a), false) OR coalesce(list_contains(s_nums, b), false) AS INTEGER) AS hnum_in_other, {_FLAG.format("s_street = r_street")} AS street_eq,
  len(list_intersect(s_comps, r_comps)) AS comp_overlap, {_FLAG.format("s_empty")} AS a_empty_s1, {_FLAG.format("r_empty")} AS a_empty_rec, source, {_FLAG.format("r_web")} AS is_web, {_FLAG.format("r_alias")} AS has_alias,
- coalesce(levenshtein(a, b), -1) AS hn_ed, coalesce(list_min({_NEAR}), -1) AS hn_best_ed, {_FLAG.format(_AFFIX.format("a", "b") + " OR " + _AFFIX.format("b", "a"))} AS hn_affix,
+ coalesce(levenshtein({S.digit_bytes("a")}, {S.digit_bytes("b")}), -1) AS hn_ed, coalesce(list_min({_NEAR}), -1) AS hn_best_ed, {_FLAG.format(_AFFIX.format("a", "b") + " OR " + _AFFIX.format("b", "a"))} AS hn_affix,
  coalesce(round(abs({_NUM.format("a")} - {_NUM.format("b")}) / greatest({_NUM.format("a")}, {_NUM.format("b")}, 1), 6), -1.0) AS hn_reldiff, {_FLAG.format("length(a) = length(b)")} AS hn_same_len,
  {_FLAG.format(f"(length(s_concat) >= 2 AND s_concat = {_INIT.format('r_tok')}) OR (length(r_concat) >= 2 AND r_concat = {_INIT.format('s_tok')})")} AS initials FROM sides"""))
 def features_pairs(spark, sf):
@@ -523,6 +561,46 @@ def features_strings(spark, sf):
     return P.string_features(sides(spark, sf))
 
 
+_PROFILE = f"""{S.SIDES}, {S.FREQ[len(S.NORM) + 2 :]}, {S.REGIONS[len(S.NORM) + 2 :]},
+{_KEYPARTS[_KEYPARTS.index("atoks AS") : _KEYPARTS.index("arares AS")].rstrip().rstrip(",")},
+ad AS (SELECT r.id, r.country, region_raw, city, rest, array_to_string(rest, ' ') AS ad, atok FROM regions r JOIN atoks USING (id)),
+prof AS (SELECT nm.*, ad.ad, ad.atok, ad.region_raw, ad.city, ad.rest, rare.tok AS rare1, coalesce(rare.freq, 0) AS rare1_freq, count(*) OVER (PARTITION BY nm.country, nm.core) AS name_freq, count(*) OVER (PARTITION BY nm.country, ad.ad) AS addr_freq
+  FROM nm JOIN ad ON ad.id = nm.id LEFT JOIN rare ON rare.id = nm.id AND rare.rank = 1)"""
+
+
+def profiled(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate pairs with what the normalised rows, their addresses and their frequencies say of either side."""
+    n = norm(spark, sf)
+    return P.profile_sides(candidates(n).select("s1", "rec"), P.profile(n, regions(n), N.token_frequency(n)))
+
+
+@query(w(_PROFILE, f"""SELECT c.s1, c.rec, {_FLAG.format("list_contains(list_concat(r.core_tok, r.alias_tok), s.rare1)")} AS n_s1rare_in_rec, s.rare1_freq AS s1_rare1_freq, r.rare1_freq AS rec_rare1_freq, s.name_freq, s.addr_freq,
+ CASE WHEN s.region_raw IS NULL OR r.region_raw IS NULL THEN -1 ELSE CAST(s.region_raw = r.region_raw AS INTEGER) END AS region_eq, len(list_intersect(s.atok, r.atok)) AS at_inter, round({S._jaccard("s.atok", "r.atok")}, 6) AS at_jacc,
+ {_FLAG.format("list_contains(r.rest, s.city)")} AS s1_city_in_rec_comps, CAST(r.is_indic AS INTEGER) AS is_indic FROM cand c JOIN prof s ON s.id = c.s1 JOIN prof r ON r.id = c.rec"""))
+def features_address_frequency(spark, sf):
+    return P.structure_features(profiled(spark, sf))
+
+
+@query(None)
+def features_more_strings(spark, sf):
+    return P.more_strings(profiled(spark, sf))
+
+
+@query(w(_PROFILE, """, tot AS (SELECT country, count(*) AS n FROM nm GROUP BY 1),
+ex AS (SELECT c.s1, c.rec, s.country, unnest(CASE WHEN len(list_concat(s.atok, r.atok)) > 0 THEN list_distinct(list_concat(s.atok, r.atok)) ELSE [NULL] END) AS tok, list_intersect(s.atok, r.atok) AS i FROM cand c JOIN prof s ON s.id = c.s1 JOIN prof r ON r.id = c.rec),
+vl AS (SELECT s1, rec, coalesce(list_contains(i, tok), false) AS shared, freq, ln(n / freq) AS idf FROM ex LEFT JOIN afreq USING (country, tok) LEFT JOIN tot USING (country))
+SELECT s1, rec, round(coalesce(sum(idf) FILTER (shared), 0.0), 6) AS idf_inter, round(CASE WHEN sum(idf) > 0 THEN coalesce(sum(idf) FILTER (shared), 0.0) / sum(idf) ELSE 0.0 END, 6) AS idf_jacc, coalesce(min(freq) FILTER (shared), 10000000) AS min_shared_f FROM vl GROUP BY 1, 2""").replace("\n, tot", ",\ntot"))
+def features_address_idf(spark, sf):
+    n = norm(spark, sf)
+    tokens = regions(n).select("id", "country", B.address_tokens(F.col("rest")).alias("atok"))
+    return P.idf_overlap(profiled(spark, sf), N.token_frequency(tokens, "atok"), n.groupBy("country").agg(F.count("*").alias("n")), "s_ad_tok", "r_ad_tok")
+
+
+@query(f"SELECT s1, rec, keys, CAST(bit_count(keys) AS INTEGER) AS nkeys, kscore, count(*) OVER (PARTITION BY rec) AS rec_ncand, count(*) OVER (PARTITION BY s1) AS s1_ncand FROM ({ORACLES['keys_in_sql']})")
+def features_blocking(spark, sf):
+    return P.blocking_features(QUERIES["keys_in_sql"](spark, sf))
+
+
 # Competition
 
 
@@ -553,6 +631,44 @@ def compete_context(spark, sf):
     return C.context(pred(spark, sf))
 
 
+_LOGIT = "ln(least(greatest({0}, 1e-6), 1 - 1e-6) / (1 - least(greatest({0}, 1e-6), 1 - 1e-6)))"
+
+
+@query(w(S.SCORED, f""", a1 AS (SELECT s1, rec, p, source, row_number() OVER r AS rk, max(p) OVER (PARTITION BY rec) AS best, lead(p) OVER r AS nxt, count_if(p > 0.5) OVER (PARTITION BY rec) AS n05, count_if(p > 0.1) OVER (PARTITION BY rec) AS n01, sum(p) OVER (PARTITION BY rec) AS total FROM pred WINDOW r AS (PARTITION BY rec ORDER BY p DESC, s1)),
+a2 AS (SELECT *, coalesce(CASE WHEN rk = 1 THEN nxt ELSE best END, 0) AS other, CAST(rk = 1 AND p > 0.5 AS BIGINT) AS won FROM a1),
+a3 AS (SELECT *, row_number() OVER s AS sk, max(p) OVER (PARTITION BY s1) AS sbest, lead(p) OVER s AS snext, sum(p) OVER (PARTITION BY s1) AS stotal, count(*) OVER (PARTITION BY s1) AS sn, sum(won) OVER (PARTITION BY s1) AS wins, sum(won * p) OVER (PARTITION BY s1) AS winsum, sum(won) OVER (PARTITION BY s1, source) AS wins_src,
+ count_if(p > 0.5) OVER (PARTITION BY s1) AS s05, count_if(p > 0.9) OVER (PARTITION BY s1) AS s09, count_if(source = 2) OVER (PARTITION BY s1) AS s2, count_if(source = 3) OVER (PARTITION BY s1) AS s3 FROM a2 WINDOW s AS (PARTITION BY s1 ORDER BY p DESC, rec))
+SELECT s1, rec, p AS q, round({_LOGIT.format("p")}, 6) AS q_logit, rk AS qr_rank, best AS qr_best, round(p - other, 6) AS qr_margin, CAST(other AS DOUBLE) AS qr_other, CAST(n05 AS BIGINT) AS qr_n05, CAST(n01 AS BIGINT) AS qr_n01, round(total, 6) AS qr_sum, sk AS qs_rank,
+ CAST(coalesce(CASE WHEN sk = 1 THEN snext ELSE sbest END, 0) AS DOUBLE) AS qs_max_other, CAST(s05 - CAST(p > 0.5 AS INTEGER) AS BIGINT) AS qs_n05_other, CAST(s09 - CAST(p > 0.9 AS INTEGER) AS BIGINT) AS qs_n09_other, round(stotal - p, 6) AS qs_sum_other, sn AS qs_ncand, CAST(wins - won AS BIGINT) AS qs_won_other,
+ round(winsum - won * p, 6) AS qs_wonsum_other, CAST(wins_src - won AS BIGINT) AS qs_won_same_src, CAST(wins - wins_src AS BIGINT) AS qs_won_other_src, CAST(s2 AS BIGINT) AS s_n2, CAST(s3 AS BIGINT) AS s_n3 FROM a3""").replace("\n, a1", ",\na1"))
+def compete_level2(spark, sf):
+    d = C.level2(pred(spark, sf), sources(spark, sf))
+    return d.withColumns({c: F.col(c).cast("long") for c in ("qr_rank", "qs_rank")})
+
+
+_SCORERS = {"x": ("round(6 * p - 3, 6)", "p >= 0.2"), "y": ("round(5 * p - 2, 6)", "(s1 + rec) % 3 = 0")}
+
+
+@query(w(S.SCORED, f""", seen1 AS (SELECT s1, rec, {_SCORERS["x"][0]} AS ce FROM pred WHERE {_SCORERS["x"][1]}),
+seen2 AS (SELECT s1, rec, {_SCORERS["y"][0]} AS ce FROM pred WHERE {_SCORERS["y"][1]}),
+both1 AS (SELECT p.s1, p.rec, p, CAST(coalesce(seen1.ce, -20) AS DOUBLE) AS ce, CAST(seen1.ce IS NULL AS INTEGER) AS ce_missing, CAST(coalesce(seen2.ce, -20) AS DOUBLE) AS ce_2, CAST(seen2.ce IS NULL AS INTEGER) AS ce_missing_2 FROM pred p LEFT JOIN seen1 ON seen1.s1 = p.s1 AND seen1.rec = p.rec LEFT JOIN seen2 ON seen2.s1 = p.s1 AND seen2.rec = p.rec)
+SELECT s1, rec, p AS p1, round({_LOGIT.format("p")}, 6) AS p1_logit, ce, ce_missing, row_number() OVER (PARTITION BY rec ORDER BY ce DESC, s1) AS ce_rank, max(ce) OVER (PARTITION BY rec) AS ce_rec_best, count_if(ce > 0) OVER (PARTITION BY s1)::BIGINT AS ce_s1_npos,
+ ce_2, ce_missing_2, row_number() OVER (PARTITION BY rec ORDER BY ce_2 DESC, s1) AS ce_rank_2, max(ce_2) OVER (PARTITION BY rec) AS ce_rec_best_2, count_if(ce_2 > 0) OVER (PARTITION BY s1)::BIGINT AS ce_s1_npos_2,
+ round(CASE WHEN ce_missing + ce_missing_2 = 2 THEN -20.0 ELSE (ce * (1 - ce_missing) + ce_2 * (1 - ce_missing_2)) / (2 - ce_missing - ce_missing_2) END, 6) AS ce_mean FROM both1""").replace("\n, seen1", ",\nseen1"))
+def compete_stage1(spark, sf):
+    """Scores of two scorers that each saw a part of the pairs, here stand-ins for models."""
+    p = pred(spark, sf)
+    scored = [p.where(which).select("s1", "rec", F.expr(e).alias("ce")) for e, which in _SCORERS.values()]
+    d = C.stage1(p, scored)
+    return d.withColumns({c: F.col(c).cast("long") for c in ("ce_rank", "ce_rank_2")})
+
+
+@query(None)
+def compete_records(spark, sf):
+    """A record against the best other record of its source-1 row, where both are likely."""
+    return C.record_pairs(pred(spark, sf).where("p > 0.01"), norm(spark, sf))
+
+
 # Decisions
 
 
@@ -718,15 +834,30 @@ def eval_margin_bands(spark, sf):
     return b.groupBy((F.floor(F.col("p") * 10) / 10).alias("band")).agg(F.count("*").alias("n"), F.round(F.percentile("margin", 0.5), 6).alias("median_margin"), F.round(F.max("margin"), 6).alias("max_margin"))
 
 
-@query(w(S.SCORED, """, x1 AS (SELECT s1, rec FROM best WHERE p >= 0.6),
-v AS (SELECT 'missing_s1' AS rule, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'extra_s1', 0 UNION ALL SELECT 'duplicate_s1', 0 UNION ALL SELECT 'duplicate_in_list', 0 UNION ALL SELECT 'self_match', 0
- UNION ALL SELECT 'unknown_record', count(*) FROM x1 JOIN ent ON ent.id = x1.rec AND ent.src <> 2 UNION ALL SELECT 'not_a_candidate', 0)
-SELECT * FROM v""").replace("\n, x1", ",\nx1"))
+@query(w(S.SCORED, """, l0 AS (SELECT i.s1, coalesce(string_agg(CAST(b.rec AS VARCHAR), ',' ORDER BY b.rec), '') AS recs FROM ids i LEFT JOIN (SELECT * FROM best WHERE p >= 0.6) b USING (s1) GROUP BY 1),
+l1 AS (SELECT s1, CASE WHEN s1 % 13 = 0 THEN recs || ',' || s1 WHEN s1 % 4 = 0 THEN recs || ',' || split_part(recs, ',', 1) WHEN s1 % 8 = 1 THEN recs || ',' || (s1 + 1) || ',x' ELSE recs END AS recs FROM l0 WHERE s1 % 7 <> 0),
+res AS (SELECT CAST(s1 AS VARCHAR) AS s1, recs FROM l1 UNION ALL SELECT CAST(s1 AS VARCHAR), recs FROM l1 WHERE s1 % 5 = 0 UNION ALL SELECT CAST(-s1 - 1 AS VARCHAR), '' FROM l0 WHERE s1 % 11 = 0),
+it AS (SELECT s1, unnest(string_split(recs, ',')) AS rec FROM res),
+im AS (SELECT * FROM it WHERE rec <> ''),
+v AS (SELECT 'missing_s1' AS rule, (SELECT count(*) FROM ids WHERE CAST(s1 AS VARCHAR) NOT IN (SELECT s1 FROM res)) AS n
+ UNION ALL SELECT 'extra_s1', (SELECT count(*) FROM res WHERE s1 NOT IN (SELECT CAST(s1 AS VARCHAR) FROM ids))
+ UNION ALL SELECT 'duplicate_s1', (SELECT count(*) FROM (SELECT s1 FROM res GROUP BY 1 HAVING count(*) > 1))
+ UNION ALL SELECT 'duplicate_in_list', (SELECT count(*) FROM (SELECT s1, rec FROM im GROUP BY 1, 2 HAVING count(*) > 1))
+ UNION ALL SELECT 'self_match', (SELECT count(*) FROM im WHERE rec = s1)
+ UNION ALL SELECT 'unknown_record', (SELECT count(*) FROM im WHERE rec NOT IN (SELECT CAST(id AS VARCHAR) FROM ent WHERE src = 2))
+ UNION ALL SELECT 'not_a_candidate', (SELECT count(*) FROM im ANTI JOIN (SELECT CAST(s1 AS VARCHAR) AS s1, CAST(rec AS VARCHAR) AS rec FROM cand) k ON im.s1 = k.s1 AND im.rec = k.rec))
+SELECT rule, n FROM v""").replace("\n, l0", ",\nl0"))
 def eval_validator(spark, sf):
-    """The validator on a result, with only source 2 known: matches of source 3 are reported."""
+    """The validator on a result that breaks every rule, with only source 2 known."""
     i, m = ids(spark, sf), matches(spark, sf)
+    first = F.split_part("recs", F.lit(","), F.lit(1))
+    more = lambda *p: F.concat("recs", *[F.concat(F.lit(","), x) for x in p])
+    broken = F.when(F.col("s1") % 13 == 0, more(F.col("s1").cast("string"))).when(F.col("s1") % 4 == 0, more(first)).when(F.col("s1") % 8 == 1, more((F.col("s1") + 1).cast("string"), F.lit("x"))).otherwise(F.col("recs"))
+    lists = src.result_lists(i, m)
+    kept = lists.where("s1 % 7 <> 0").select("s1", broken.alias("recs"))
+    result = kept.unionByName(kept.where("s1 % 5 = 0")).unionByName(lists.where("s1 % 11 = 0").select((-F.col("s1") - 1).alias("s1"), F.lit("").alias("recs")))
     known = src.entities(spark, sf).where("src = 2").select(F.col("id").alias("rec"))
-    return E.validate(i, src.result_lists(i, m), known, candidates(norm(spark, sf)))
+    return E.validate(i, result, known, candidates(norm(spark, sf)))
 
 
 # Models
@@ -745,6 +876,27 @@ def model_cross_fit(spark, sf):
     return M.cross_fit(labelled(spark, sf), FEATURES).select("s1", "rec", "y", "fold", F.round("p", 6).alias("p"))
 
 
+@query(None)
+def model_pair_scorer(spark, sf):
+    """A scorer of text pairs behind the interface for cross-encoders; the stand-in counts shared words."""
+    n = norm(spark, sf)
+    texts = n.select("id", F.concat_ws(" | ", "name", "address").alias("text"))
+    return M.score_texts(candidates(n).select("s1", "rec"), texts, M.shared_words)
+
+
+@query(None)
+def model_text_encoder(spark, sf):
+    """An encoder behind the interface for bi-encoders; the stand-in hashes words."""
+    return M.encode_texts(src.entities(spark, sf).select("id", F.col("name").alias("text")), M.hashed_words)
+
+
+@query(None)
+def model_half_average(spark, sf):
+    """Models of either half of the source-1 rows, averaged on pairs that neither has seen as its own."""
+    d = labelled(spark, sf)
+    return M.half_average(d.where("s1 % 2 = 0"), d.where("s1 % 2 = 1"), FEATURES).select("s1", "rec", "y", F.round("p", 6).alias("p"))
+
+
 @query(None)
 def model_ensemble(spark, sf):
     d = labelled(spark, sf)

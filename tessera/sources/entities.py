@@ -66,7 +66,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, country, src, name, address) of ``documents``.
 
     Language is the country, doc_id deals sources 1 to 3. Names take the first words, some with an
-    alias, a web form, a legal form or an id; addresses the next words with a number from the length.
+    alias, a web form, a legal form or an id; addresses the next words with a number and a code from the
+    length, some with words that stand for nothing or digits of another script.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
     w = F.slice(F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N}]+", " "), " "), lambda x: x != ""), 1, 8)
@@ -81,11 +82,12 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, cat("The ", x(0), " ", x(1), " Pvt. Ltd."))
         .when(kind == 4, cat("-- ", x(0), " ", x(1), " Corporation (ID: ", F.col("id").cast("string"), ")"))
         .when(kind == 5, cat(x(0), " ", x(1), " Inc aka ", x(2), " ", x(3)))
+        .when(kind == 6, cat(x(0), ".co.in ", x(1), " L. L.P. (D/B/A) ", x(2), ", formerly ", x(3)))
         .otherwise(cat(x(0), " ", x(1), " ", x(2)))
     )
     region = F.when(F.pmod("n", F.lit(3)) == 0, cat("North ", F.col("country"))).when(F.pmod("n", F.lit(3)) == 1, cat("N. ", F.col("country"), " region")).otherwise(F.upper("country"))
-    street = cat((F.col("n") % 990 + 1).cast("string"), " ", x(4), " Street, Apt 0", (F.col("n") % 9).cast("string"), ", ", x(5), " ", x(6), ", ", region)
-    address = F.when(F.pmod("id", F.lit(11)) == 0, F.lit("")).when(F.pmod("id", F.lit(13)) == 0, cat("null, ", street)).otherwise(street)
+    street = cat((F.col("n") % 990 + 1).cast("string"), " ", x(4), " Street, Apt 0", (F.col("n") % 9).cast("string"), ", ", x(5), " ", x(6), ", ", (F.col("n") % 97 * 100 + 10000).cast("string"), ", ", region)
+    address = F.when(F.pmod("id", F.lit(11)) == 0, F.lit("")).when(F.pmod("id", F.lit(13)) == 0, cat("null null n/a, ", street)).when(F.pmod("id", F.lit(17)) == 0, cat("Flat १२३-", (F.col("id") % 7).cast("string"), ", ", street)).otherwise(street)
     return base.select("id", "country", "src", name.alias("name"), address.alias("address"))
 
 

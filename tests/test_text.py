@@ -41,6 +41,32 @@ def test_names(spark):
     assert (b.core, b.comps, b.addr_empty) == ("zed", [], True) and (c.core, c.comps) == ("", [])
 
 
+def test_core_names_by_rule(spark):
+    cases = {
+        "acme.co.in": "acme", "shop foo.com.in x": "shop foo x", "www.acme.com": "acme", "www.com": "com", "http://foo.org/bar": "foo bar", "a.coming": "a coming", ".com": "", "x.com_y": "x com y",
+        "acme l.l.c.": "acme", "acme l l p": "acme", "acme l. l. c": "acme", "acme ll.c": "acme", "acme l lc x": "acme x", "l l l c": "", "acme c p": "acme c p", "acme llcx": "acme llcx", "ll": "ll",
+        "acme (id: 12) b": "acme b", "a & b": "a b", "": "", "-- x": "x", "the (id 7)": "", "kwww.foo": "kwww foo", "www": "www", "sons l.-l.c": "sons c",
+    }
+    assert dict(zip(cases, values(spark, cases, X.core_name))) == cases
+
+
+def test_aliases_split_once(spark):
+    cases = {
+        "acme (dba) foo": ["acme (", ") foo"], "acme,dba foo": ["acme,", "foo"], "acme-dba foo": ["acme-", "foo"], "acme dba: foo aka bar": ["acme", "foo aka bar"], "akash": ["akash"], "x formerly known as y": ["x", "y"],
+        "dba zed": ["", "zed"], "neenee": ["neenee"], "a d/b/a b": ["a", "b"],
+    }
+    assert dict(zip(cases, values(spark, cases, X.alias_parts))) == cases
+
+
+def test_address_parts_and_numbers_by_rule(spark):
+    cases = {"null null main st": ["main st"], "n/a n/a": [], "null, nullx, a-n/a": ["nullx", "a"], " 1/2 - x -, (y)": ["1/2 - x", "y"], "a..b": ["a b"]}
+    assert dict(zip(cases, values(spark, cases, X.components))) == cases
+    assert values(spark, ["flat १२३ road", "007 0 00 07", "०१", ""], X.numbers) == [["१२३"], ["7", "0"], ["०१"], []]
+    assert values(spark, ["12 n main st", "12a street", "१२ rue", "main", "12 x"], X.street_word) == ["main", "st", "r", None, None]
+    assert values(spark, ["a.in", "a.inn", "x @b", "#b", "x@b", "x # b", "WWW.x", "a.net"], X.is_web) == [True, False, True, True, False, False, True, True]
+    assert values(spark, ["foo.com.in", None], X.spell_domain) == ["foo com .in", None]
+
+
 @pytest.mark.parametrize("address,want", [
     (None, (False, None, [], None)), (" ", (False, None, [], None)), (",,;,", (False, None, [], None)), ("One", (True, "one", [], "one")), ("One, Two", (True, "one", [], "two")),
     ("12 High St,  Flat 2 ,, Town, Land.", (True, "12 high st", ["flat 2", "town"], "land")),
