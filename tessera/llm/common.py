@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, about. Texts can be long, so batches are cut by size.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 1 << 20
+#: Rows of numbers in one file of a settled table, at least.
+FILE_ROWS = 50_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -59,11 +61,15 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{root}/tessera-{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later steps start from files."""
+def settle(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that later steps start from files.
+
+    Where ``rows`` tells how many rows there are at most, a small table is few files. For tables that
+    come out of a shuffle: its partitions are then put together, not what was computed before it.
+    """
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tessera_path = path
     return out

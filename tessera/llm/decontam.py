@@ -212,12 +212,12 @@ def frequencies(docs: DataFrame, held: Filter) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "code long, docs long").groupBy("code").agg(F.sum("docs").alias("docs"))
 
 
-def pick_seeds(grams: DataFrame, counts: DataFrame, documents: int) -> DataFrame:
+def pick_seeds(grams: DataFrame, counts: DataFrame, documents: int, most_grams: int | None = None) -> DataFrame:
     """(item, place, code) of ``grams`` that seed a search: the rare ones, and of each item those near its median or below.
 
-    Only n-grams that occur in the corpus count.
+    Only n-grams that occur in the corpus count. ``most_grams`` is the number of ``grams``.
     """
-    found = settle(grams.join(counts, "code"), "found")
+    found = settle(grams.join(counts, "code"), "found", most_grams)
     most = F.greatest(OF_MEDIAN * F.median("docs"), F.lit(RARE_SHARE * documents), F.lit(float(RARE_DOCUMENTS)))
     return found.join(found.groupBy("item").agg(most.alias("most")), "item").where("docs <= most").select("item", "place", "code")
 
@@ -241,7 +241,8 @@ def _aligned(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFra
     items = settle(cut_items(benchmark), "items")
     grams = items.select("item", F.posexplode("codes").alias("place", "code"))
     counts = frequencies(docs, Filter.build(grams))
-    seeds = settle(pick_seeds(grams, counts, docs.count()), "seeds")
+    n = items.select(F.sum(F.size("codes"))).first()[0] or 0
+    seeds = settle(pick_seeds(grams, counts, docs.count(), n), "seeds", n)
     rare = Filter.build(seeds)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

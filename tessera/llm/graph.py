@@ -24,21 +24,22 @@ def components(edges: DataFrame) -> DataFrame:
     and one side of a join that splits skewed keys. Loops are allowed; no edges give no rows.
     """
     edges = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")), "edges")
-    labels, turn = settle(_step(edges, lambda c: c), "labels"), 0
+    left = edges.count()
+    labels, turn, nodes = settle(_step(edges, lambda c: c), "labels", 2 * left), 0, 2 * left
     step = labels
     while True:
         at_a, at_b = step.select(F.col("node").alias("a"), F.col("rep").alias("ra")), step.select(F.col("node").alias("b"), F.col("rep").alias("rb"))
         moved = edges.join(at_a, "a").join(at_b, "b").where("ra <> rb")
-        last, edges = edges, settle(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        last, edges = edges, settle(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges", left)
         release(last)
         if turn:
             release(step)
         if edges.isEmpty():
             release(edges)
             return labels
-        turn += 1
+        turn, left = turn + 1, edges.count()
         order: Column = lambda c, turn=turn: F.xxhash64(c, F.lit(turn))
-        step = settle(_step(edges, order), "step")
+        step = settle(_step(edges, order), "step", 2 * left)
         onward = step.select(F.col("node").alias("rep"), F.col("rep").alias("next"))
-        last, labels = labels, settle(labels.join(onward, "rep", "left").select("node", F.coalesce("next", "rep").alias("rep")), "labels")
+        last, labels = labels, settle(labels.join(onward, "rep", "left").select("node", F.coalesce("next", "rep").alias("rep")), "labels", nodes)
         release(last)

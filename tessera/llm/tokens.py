@@ -28,7 +28,7 @@ from tessera.llm.eliasfano import EliasFano
 
 MAGIC = b"TIDS0001"
 #: Chunks of text whose ids a worker remembers, and the longest of them in bytes.
-CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 700_000, 64
 #: Texts that are encoded together.
 TEXTS = 16
 #: ASCII marks that a pre-tokenizer of letters, digits and runs of other marks cuts from the letters before them.
