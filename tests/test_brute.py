@@ -158,3 +158,14 @@ def test_loss_kinds(spark):
 def test_integrity_tells_what_is_lost(spark):
     a, b = (spark.createDataFrame([(x,) for x in v], "id int") for v in ([1, 2, 2, 3], [2, 3, 3, 4]))
     assert tuple(N.row_integrity(a, b).first()) == (4, 4, 2, 2)
+
+
+def test_halves_are_averaged(spark, sf):
+    """The mean of the two models, each fitted and applied by itself."""
+    d = C.labelled(spark, sf)
+    train, target = d.where("s1 % 2 = 0"), d.where("s1 % 2 = 1")
+    got = {(r.s1, r.rec): r.p for r in M.half_average(train, target, C.FEATURES).collect()}
+    marked = train.withColumn("fold", M.fold("s1", 2))
+    halves = [{(r.s1, r.rec): r.p for r in M.fit(M.sample_negatives(marked.where(F.col("fold") != k), 1.0), C.FEATURES)[1](target).collect()} for k in (0, 1)]
+    assert set(got) == set(halves[0]) and all(p == pytest.approx((halves[0][k] + halves[1][k]) / 2) for k, p in got.items())
+    assert len({round(p, 6) for p in got.values()}) > 1
