@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle, table
+from tessera.llm.common import release, settle, table
 
 LEVELS = ("domain", "lang", "source")
 NONE = "(none)"
@@ -72,6 +72,44 @@ def allocate(leaves: DataFrame, recipe: Recipe) -> DataFrame:
     return leaves.drop("cap").join(given, list(LEVELS)).withColumnRenamed("budget", "alloc")
 
 
+def _measured(docs: DataFrame, domain: Column) -> tuple[Column, ...]:
+    """What a document is placed by: its leaf, id, tokens and the CRC of its text."""
+    own = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return (
+        F.col("doc_id").alias("id"), own(domain).alias("domain"), own(F.col("lang")).alias("lang"), own(F.col("source")).alias("source"),
+        F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("tokens"), F.crc32(text).alias("crc"),
+    )
+
+
+def _key(recipe: Recipe) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(recipe.seed)), F.col("full").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+
+
+PLACE = ("key", "id", "tokens", "crc")
+
+
+def cuts(rows: DataFrame, plan: DataFrame, recipe: Recipe) -> DataFrame:
+    """(domain, lang, source, last, nth, ties): the last place of each leaf's token-prefix.
+
+    ``last`` is the place (key, id, tokens, crc) of the last document that fits, ``nth`` how many
+    documents of that very place fit and ``ties`` how many there are. A leaf of whose started epoch
+    nothing fits has no row.
+    """
+    started = rows.join(plan, list(LEVELS)).where("part > 0").withColumn("key", _key(recipe))
+    started = started.withColumn("piece", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("pieces"), 32))
+    sums = started.groupBy(*LEVELS, "piece").agg(F.sum("tokens").alias("sum"))
+    before = F.sum("sum").over(Window.partitionBy(*LEVELS).orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum")
+    places = sums.select(*LEVELS, "piece", before.alias("before"))
+    ordered = Window.partitionBy(*LEVELS, "piece").orderBy(*PLACE)
+    upto = F.sum("tokens").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    nth = F.row_number().over(ordered) - F.rank().over(ordered) + 1
+    ties = F.count("*").over(Window.partitionBy(*LEVELS, "piece", *PLACE))
+    fitting = started.select("*", upto.alias("upto"), nth.alias("nth"), ties.alias("ties")).join(places, [*LEVELS, "piece"]).where("before + upto <= part")
+    last = fitting.groupBy(*LEVELS).agg(F.max(F.struct(F.struct(*PLACE).alias("last"), "nth", "ties")).alias("cut"))
+    return last.select(*LEVELS, "cut.last", "cut.nth", "cut.ties")
+
+
 def mix(docs: DataFrame, domain: Column, recipe: Recipe, keep: Sequence[str]) -> DataFrame:
     """The chosen documents, a row for each epoch they are read in.
 
@@ -82,27 +120,29 @@ def mix(docs: DataFrame, domain: Column, recipe: Recipe, keep: Sequence[str]) ->
     documents up to the last that fits. Null domains, languages and sources are leaves of their own;
     null texts have no tokens, and a leaf without tokens gives nothing. No rows give none. Totals are
     summed before they are moved; a leaf is ordered in pieces by hash, so none lands in one task.
+
+    Texts are read twice and never moved: once to measure them, once to take those up to the last
+    place of their leaf. Only where that place is shared by documents of which some do not fit
+    (repeated rows) are these numbered, any of them being as good as the others.
     """
-    own = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("doc"), F.col("doc_id").alias("id"), own(domain).alias("domain"), own(F.col("lang")).alias("lang"), own(F.col("source")).alias("source"),
-        F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("tokens"), F.crc32(text).alias("crc"),
-    )
+    rows = settle(docs.select(*_measured(docs, domain)), "measured")
     leaves = rows.groupBy(*LEVELS).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
     given = settle(allocate(leaves.where("tokens > 0"), recipe), "budgets")
     plan = given.select(*LEVELS, F.expr("alloc div tokens").cast("int").alias("full"), F.expr("alloc % tokens").alias("part"), (F.expr(f"docs div {PIECE_ROWS}") + 1).alias("pieces"))
     # The plan comes from a written file: Spark broadcasts it only below the session's threshold.
-    rows = rows.join(plan, list(LEVELS)).where("full > 0 or part > 0")
-    whole = rows.where("full > 0").select("doc", "domain", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("epoch"), "tokens")
-    key = F.md5(F.concat_ws(":", F.lit(str(recipe.seed)), F.col("full").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    started = rows.where("part > 0").withColumn("key", key).withColumn("piece", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("pieces"), 32))
-    sums = started.groupBy(*LEVELS, "piece").agg(F.sum("tokens").alias("sum"))
-    before = F.sum("sum").over(Window.partitionBy(*LEVELS).orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum")
-    in_piece = F.sum("tokens").over(Window.partitionBy(*LEVELS, "piece").orderBy("key", "id", "tokens", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    places = sums.select(*LEVELS, "piece", before.alias("before"))
-    fitting = started.withColumn("upto", in_piece).join(places, [*LEVELS, "piece"]).where("before + upto <= part").select("doc", "domain", F.col("full").alias("epoch"), "tokens")
-    return whole.unionByName(fitting)
+    plan = settle(plan.join(cuts(rows, plan, recipe), list(LEVELS), "left").drop("pieces").where("full > 0 or last IS NOT NULL"), "cuts")
+    release(rows, given)
+    placed = docs.select(F.struct(*[F.col(c) for c in keep]).alias("doc"), *_measured(docs, domain)).join(plan, list(LEVELS))
+    place = F.struct(_key(recipe).alias("key"), "id", "tokens", "crc")
+    # A null last place (nothing of the started epoch fits) compares as null, which counts as no.
+    fits = F.coalesce((place < F.col("last")) | ((place == F.col("last")) & (F.col("nth") == F.col("ties"))), F.lit(False))
+    copies = F.col("full") + fits.cast("int")
+    out = placed.select("doc", "domain", "tokens", copies.alias("copies")).where("copies > 0").select("doc", "domain", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"), "tokens")
+    if plan.where("nth < ties").isEmpty():
+        return out
+    shared = placed.where(F.col("nth") < F.col("ties")).where(place == F.col("last"))
+    shared = shared.withColumn("n", F.row_number().over(Window.partitionBy(*LEVELS).orderBy("crc"))).where("n <= nth")
+    return out.unionByName(shared.select("doc", "domain", F.col("full").alias("epoch"), "tokens"))
 
 
 #: The domains and the recipe of the query and of the pipeline.

@@ -77,6 +77,16 @@ def test_against_brute_force(spark, monkeypatch, seed, num, den, epochs, piece):
     assert Counter((r.doc.doc_id, r.epoch, r.tokens) for r in got) == brute(rows, recipe)
 
 
+@pytest.mark.parametrize("den", [2, 3, 7])
+def test_cut_among_repeated_rows(spark, monkeypatch, den):
+    monkeypatch.setattr(mixing, "PIECE_ROWS", 5)
+    rows = [(7, "one two three", "en", "a1")] * 60 + [(8, "one two", "en", "b1")] * 11 + [(None, "x", "de", "b1")] * 9 + [(9, None, "en", "a1")] * 4
+    recipe = mixing.Recipe({}, 2, 1, den)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, F.substring("source", 1, 1), recipe, ["doc_id"]).collect()
+    assert Counter((r.doc.doc_id, r.epoch, r.tokens) for r in got) == brute(rows, recipe)
+
+
 def test_shortages_go_to_siblings_first(spark):
     leaves = spark.createDataFrame([("x", "en", "s1", 1, 10), ("x", "en", "s2", 1, 1000), ("x", "de", "s3", 1, 1000), ("y", "en", "s4", 1, 1000)], "domain string, lang string, source string, docs long, tokens long")
     got = {r.source: r.alloc for r in mixing.allocate(leaves, mixing.Recipe({}, 1, 1, 4)).collect()}
