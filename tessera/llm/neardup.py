@@ -27,8 +27,8 @@ from tessera.llm.simhash import SEED, Covering, fingerprint, shingle_hashes
 WORDS, BLOCKS, WIDTH, THRESHOLD = 2, 8, 16, 1
 #: Bits of 128 that candidates may differ in: four standard deviations above the mean at similarity 0.8.
 DISTANCE = 36
-#: Comparisons made at once.
-DENSE = 1 << 21
+#: Comparisons made at once. Where most of them are links, each takes some 200 bytes on the way.
+DENSE = 1 << 18
 #: Links a member beyond which an anchor is thick; of a thick anchor each member's closest few are told first.
 THICK, CLOSEST = 2, 2
 #: Members that one task compares; those of larger anchors, and with their sets those of thick ones, go in squares of sides of so many.
@@ -145,7 +145,8 @@ class Members:
             return i
 
         for i, j, _ in self.links(block, least, side):
-            cross = of[i] != of[j]
+            now = np.array([find(k) for k in range(len(names))])[of]
+            cross = now[i] != now[j]
             for m, n in zip(i[cross].tolist(), j[cross].tolist()):
                 p, q = find(of[m]), find(of[n])
                 if p != q and similar(sets[m], sets[n], least):
