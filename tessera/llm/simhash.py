@@ -162,11 +162,6 @@ def forest(homes: np.ndarray, others: np.ndarray, near: Near) -> list[tuple[np.n
     return out
 
 
-def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    a, b = (np.concatenate([p[i] for p in pairs]).view(np.int64) for i in (0, 1))
-    return a, b
-
-
 def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, np.uint64)
     a, b = (np.concatenate([none, *(p[i] for p in pairs)]).view(np.int64) for i in (0, 1))
