@@ -150,3 +150,60 @@ def test_equal_fingerprints_are_no_link_by_themselves():
     assert not neardup.similar(np.arange(10, dtype="<u4"), np.arange(5, 20, dtype="<u4"), 0.8)
     assert neardup.similar(np.arange(8, dtype="<u4"), np.arange(10, dtype="<u4"), 0.8)
     assert neardup.similar(np.zeros(0, "<u4"), np.zeros(0, "<u4"), 0.8)
+
+
+def test_sketches_drop_no_similar_sets_and_most_others():
+    rng = np.random.default_rng(11)
+    dropped = []
+    for _ in range(1500):
+        n = int(rng.integers(1, 3000))
+        a = rng.integers(0, 2**32, n, dtype=np.uint64).astype("<u4")
+        edits = int(n * rng.uniform(0, 0.3))
+        a, b = np.unique(a), np.unique(np.concatenate([a[edits:], rng.integers(0, 2**32, rng.integers(0, edits + 1), dtype=np.uint64).astype("<u4")]))
+        other = np.unique(rng.integers(0, 2**32, len(a), dtype=np.uint64).astype("<u4"))
+        assert neardup.differ(neardup.sketch(a), neardup.sketch(b)) <= len(np.setxor1d(a, b))
+        dropped.append(neardup.differ(neardup.sketch(a), neardup.sketch(other)) > (len(a) + len(other)) / 9)
+    assert np.mean(dropped) > 0.98
+
+
+def test_a_group_of_near_copies_tells_few_links_a_member():
+    """Of a thick anchor each home tells its closest; a member is home at eight anchors, though it comes to 69."""
+    rng = np.random.default_rng(13)
+    n = 400
+    f = np.repeat(rng.integers(0, 2**64, (1, 2), dtype=np.uint64), n, axis=0)
+    for _ in range(12):
+        f[np.arange(n), rng.integers(0, 2, n)] ^= np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    ids, sizes, rows = rng.permutation(n), rng.integers(95, 105, n), 0
+    for block in range(neardup.BLOCKS):
+        who, anchors = neardup.covering().near(neardup.lanes(f)[:, block].astype(np.uint64))
+        for anchor in np.unique(anchors):
+            at = who[anchors == anchor]
+            m = neardup.Members.of(int(anchor) | block << neardup.WIDTH, ids[at], f[at], sizes[at])
+            if sum(len(i) for i, _, _ in m.links(block, 0.8)) > neardup.THICK * len(at):
+                told, linked = m.told(block, 0.8)
+                rows += sum(len(a) for a, _ in told) + len(linked)
+    assert 0 < rows <= 2 * neardup.BLOCKS * n
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    """With joins too large to be broadcast, as at size."""
+    rng = random.Random(17)
+    rows = [(d, "".join(rng.choice("abcdefgh ") for _ in range(4000))) for d in range(300)]
+    rows += [(1000 + d, rows[d][1]) for d in range(9)] + [rows[0]] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = neardup.keep_one(docs)
+        last = max(written())
+        assert sorted(r.doc_id for r in got.select("doc_id", "text").collect()) == list(range(300))
+        moved = sum(n for k, n in written().items() if k > last)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 0 < moved < 300 * 4000 / 4
